@@ -14,7 +14,10 @@ SPLITTER_CHARS = 64
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
+    out = F.coalesce(text, F.lit(""))
+    for c in WHITE_SPACE:  # searching bytes, where translate() would look up each character
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, carry: bool = False) -> DataFrame:
