@@ -5,37 +5,45 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import accumulate, chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept by one worker; beyond that only those of the latest batch stay.
-CACHE_CHUNKS = 300_000
+#: Chunks that one worker keeps (about 200 bytes each); beyond that only those of the latest texts stay.
+CACHE_CHUNKS = 1_000_000
 
 
 class ChunkCache:
     """Encodes texts chunk by chunk, each distinct chunk once while it stays in the cache.
 
-    split cuts a text (or its bytes) into chunks whose encodings can be joined; encode gives the ids of each of a list
-    of chunks, as bytes.
+    split cuts a text into chunks whose encodings can be joined; encode gives the ids of each of a list of chunks, as
+    bytes, and may look up chunks that are known.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[bytes]]):
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list, dict], list[bytes]]):
         self.split, self.encode = split, encode
         self.known: dict = {}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t or "") for t in texts]
-        used = set().union(*parts) if parts else set()
-        missing = list(used.difference(self.known))
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.known.get, flat))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        missing = list({flat[k] for k in gaps})
         for at in range(0, len(missing), 50_000):
             some = missing[at : at + 50_000]
-            self.known.update(zip(some, self.encode(some), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+            self.known.update(zip(some, self.encode(some, self.known), strict=True))
+        for k in gaps:
+            found[k] = self.known[flat[k]]
+        ends = list(accumulate(map(len, parts)))
+        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         if len(self.known) > CACHE_CHUNKS:
+            used = set(flat)
             self.known = {k: self.known[k] for k in used} if len(used) <= CACHE_CHUNKS else {}
         return out
 
@@ -55,12 +63,17 @@ def split_at(ids: list[int], last: np.ndarray, count: int, drop: int) -> list[by
     return [blob[a : b - 4 * drop] for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []
 
 
+@lru_cache(maxsize=2)
 def word_bpe(path: str) -> ChunkCache:
     """A BPE with word ends whose pre-tokenizer drops white space: chunks are runs without ASCII white space."""
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    # Normal words in lower case need neither the normaliser nor the pattern.
+    bare_tok = Tokenizer.from_file(path)
+    bare_tok.normalizer = normalizers.Sequence([])
+    bare_tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     # Many chunks are encoded at once. Letters alone end with the first id of a word's end; after other chunks goes a
     # symbol that is one id. Chunks that hold the symbol go alone.
     mark, mark_id = next((c, x[0]) for c in map(chr, range(0x2500, 0x2800)) if len(x := tok.encode(c, add_special_tokens=False).ids) == 1)
@@ -72,30 +85,31 @@ def word_bpe(path: str) -> ChunkCache:
     is_mark = np.arange(size) == mark_id
     word_end = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
     ends = {c: one(bytes([c])) for c in b",."}
-    letters = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-    words: dict[bytes, bytes] = {}
-
-    def word(chunk: bytes) -> bytes:
-        """The chunk without a last comma or full stop after an ASCII letter or digit, which is encoded apart; in lower
-        case, unless a mark follows that could join with a letter (U+0300 and on begin with these bytes)."""
-        if chunk[-1] in ends and len(chunk) > 1 and chunk[-2] in letters:
-            chunk = chunk[:-1]
-        return chunk if b"\xcc" in chunk or b"\xcd" in chunk else chunk.lower()
-
-    def encode(chunks: list[bytes]) -> list[bytes]:
-        if len(words) > CACHE_CHUNKS:
-            words.clear()
-        bare = [word(c) for c in chunks]
-        new = list(set(bare).difference(words))
-        plain = [w for w in new if w.decode().isalpha()]
-        mixed = [w for w in new if not w.decode().isalpha() and mark.encode() not in w]
-        for some, glue, last in ((plain, " ", word_end), (mixed, f" {mark} ", is_mark)):
+    last_stop = re.compile(rb"(?<=[a-z0-9])[,.]$", re.MULTILINE)
+
+    def encode(chunks: list[bytes], known: dict) -> list[bytes]:
+        # Without the last comma or full stop after a letter or digit, which is encoded apart, and in lower case: known
+        # words are found again. No mark may follow that could join with a letter (U+0300 and on begin so).
+        joined = b"\n".join(chunks)
+        if b"\xcc" in joined or b"\xcd" in joined:
+            return [one(c) for c in chunks]
+        bare = last_stop.sub(b"", joined.lower()).split(b"\n")
+        new = list({w for w in bare if w not in known})
+        texts = [w.decode() for w in new]
+        ids: dict[bytes, bytes] = {}
+        letters = [x for x in texts if x.isalpha()]
+        plain = [x for x in letters if x == x.lower() and is_normalized("NFC", x)]
+        other = set(letters).difference(plain)
+        mixed = [x for x in texts if not x.isalpha() and mark not in x]
+        for how, some, glue, last in ((bare_tok, plain, " ", word_end), (tok, list(other), " ", word_end), (tok, mixed, f" {mark} ", is_mark)):
             if some:
-                text = "".join(f"{w.decode()}{glue}" for w in some)
-                runs = split_at(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, last, len(some), int(last is is_mark))
-                words.update(zip(some, runs if runs is not None else map(one, some), strict=True))
-        words.update((w, one(w)) for w in new if w not in words)
-        return [words[w] if len(w) == len(c) else words[w] + ends[c[-1]] for c, w in zip(chunks, bare, strict=True)]
+                groups = [glue.join(some[k : k + 1000]) + glue for k in range(0, len(some), 1000)]
+                flat = [x for e in how.encode_batch_fast(groups, add_special_tokens=False) for x in e.ids]
+                runs = split_at(flat, last, len(some), int(last is is_mark))
+                ids.update(zip((w.encode() for w in some), runs if runs is not None else (one(w.encode()) for w in some), strict=True))
+        ids.update((w, one(w)) for w in new if w not in ids)
+        known.update(ids)
+        return [known[w] if len(w) == len(c) else known[w] + ends[c[-1]] for c, w in zip(chunks, bare, strict=True)]
 
     return ChunkCache(lambda text: text.encode().split(), encode)
 
@@ -115,7 +129,7 @@ def byte_bpe(tok) -> ChunkCache:
     def one(chunk: str) -> bytes:
         return id_bytes(tok.encode(chunk, add_special_tokens=False).ids)
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def encode(chunks: list[str], known: dict) -> list[bytes]:
         words = [c for c in chunks if not c.isspace()]
         runs = split_at(tok.encode_batch_fast(["\n".join(words) + "\n"], add_special_tokens=False)[0].ids, is_newline, len(words), 1) if words else []
         if runs is None:

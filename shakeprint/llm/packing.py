@@ -21,7 +21,7 @@ CAPACITY, SEGMENTS = 2048, 512
 #: The id that ends each example.
 END_ID = 1
 #: Tokens that wait in a worker to be packed with others, and characters tokenised at once.
-POOL_TOKENS, BATCH_CHARS = 1 << 19, 2_000_000
+POOL_TOKENS, BATCH_CHARS = 1 << 17, 2_000_000
 
 
 @dataclass
