@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wire import slice_at, uint_at
+from ..functions.wire import let, slice_at, uint_at
 
 TCP, UDP = 6, 17
 _HEAD = 14 + 4 + 60 + 60
@@ -18,15 +18,19 @@ def dotted(hexed: Column, at: Column) -> Column:
 def colons(hexed: Column, at: Column) -> Column:
     """IPv6 text: lower case, no leading zeros, the first of the longest runs of two or more zero groups as ::."""
     groups = [F.lower(F.regexp_replace(F.substr(hexed, at * 2 + 1 + 4 * k, F.lit(4)), "^0{1,3}", "")) for k in range(8)]
-    whole = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
-    out = F.concat_ws(":", *groups)
+    mapped = F.substr(hexed, at * 2 + 1, F.lit(24)) == "0" * 20 + "FFFF"
+    return F.when(mapped, F.concat(F.lit("::ffff:"), dotted(hexed, at + 12))).otherwise(let(F.concat_ws(":", *groups), shortened))
+
+
+def shortened(groups: Column) -> Column:
+    whole = F.concat(F.lit(":"), groups, F.lit(":"))
+    out = groups
     for n in range(2, 9):  # the longest run is tried first
         run = ":0" * n + ":"
         where = F.locate(run, whole)
         left, right = F.substr(whole, F.lit(2), where - 2), F.substr(whole, where + len(run))
         out = F.when(where > 0, F.concat(F.when(where > 1, left).otherwise(F.lit("")), F.lit("::"), F.regexp_replace(right, ":$", ""))).otherwise(out)
-    mapped = F.substr(hexed, at * 2 + 1, F.lit(24)) == "0" * 20 + "FFFF"
-    return F.when(mapped, F.concat(F.lit("::ffff:"), dotted(hexed, at + 12))).otherwise(out)
+    return out
 
 
 def decode(packets: DataFrame) -> DataFrame:
