@@ -45,7 +45,9 @@ def day(column: str) -> Column:
 
 GREASE_SQL = "((v & 3855) = 2570 AND (v // 256) = (v & 255))"
 #: Lists of a row: values from its columns and two reserved ones.
-FEATURES = F.concat(F.lit("tls|server|v=771|c="), (c("c_custkey") % 7 + 4865).cast("string"), F.lit("|e=43-51-"), c("c_nationkey").cast("string"), F.lit("|sv=772|x="), F.col("c_mktsegment"))
+def people_features() -> Column:
+    return F.concat(F.lit("tls|server|v=771|c="), (c("c_custkey") % 7 + 4865).cast("string"), F.lit("|e=43-51-"), c("c_nationkey").cast("string"), F.lit("|sv=772|x="), F.col("c_mktsegment"))
+
 FEATURES_SQL = "'tls|server|v=771|c=' || (c_custkey % 7 + 4865) || '|e=43-51-' || c_nationkey || '|sv=772|x=' || c_mktsegment"
 
 
@@ -81,7 +83,7 @@ def fan_b64url(spark, d):
 
 @query(f"WITH {simhash_sql('customer', 'c_custkey', FEATURES_SQL)} SELECT c_custkey, simhash128 FROM sim")
 def fan_simhash128(spark, d):
-    return table(spark, d, "customer").select("c_custkey", ff.simhash128(FEATURES).alias("simhash128"))
+    return table(spark, d, "customer").select("c_custkey", ff.simhash128(people_features()).alias("simhash128"))
 
 
 ODD_SQL = "CASE s_suppkey % 4 WHEN 0 THEN '|,-=' WHEN 1 THEN 'a=a=b' WHEN 2 THEN s_name || '=' || s_name ELSE '' END"
@@ -98,13 +100,13 @@ def fan_simhash_odd(spark, d):
 SELECT c_custkey, 'fan1:tls:server:passive:' || {B64_SQL.format('f')} || ':sha256:' || sha256(f) AS fingerprint,
  'fan1:tls:server:passive:' || {B64_SQL.format('f')} || ':simhash128:' || simhash128 AS fingerprint_simhash128, sha256(f) AS sha256, simhash128 FROM t0 JOIN sim USING (c_custkey)""")
 def fan_fingerprint(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", F.lit("tls").alias("protocol"), F.lit("server").alias("role"), FEATURES.alias("features"))
+    rows = table(spark, d, "customer").select("c_custkey", F.lit("tls").alias("protocol"), F.lit("server").alias("role"), people_features().alias("features"))
     return ff.fingerprint_columns(rows).select("c_custkey", "fingerprint", "fingerprint_simhash128", "sha256", "simhash128")
 
 
 @query(f"SELECT c_custkey, 'tls' AS protocol, 'server' AS role, 'passive' AS mode, {FEATURES_SQL} AS features, c_mktsegment AS x FROM customer")
 def fan_parse(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", F.lit("tls").alias("protocol"), F.lit("server").alias("role"), FEATURES.alias("features"))
+    rows = table(spark, d, "customer").select("c_custkey", F.lit("tls").alias("protocol"), F.lit("server").alias("role"), people_features().alias("features"))
     p = ff.parse_fingerprint(F.col("fingerprint"))
     rows = ff.fingerprint_columns(rows).select("c_custkey", p.alias("p"))
     return rows.select("c_custkey", "p.protocol", "p.role", "p.mode", "p.features", ff.feature_map(F.col("p.features"))["x"].alias("x"))
@@ -112,7 +114,7 @@ def fan_parse(spark, d):
 
 @query(f"SELECT sha256, count(*) AS n, min(c_custkey) AS first_key FROM (SELECT c_custkey, sha256({FEATURES_SQL}) AS sha256 FROM customer) GROUP BY 1")
 def exact_correlation(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", ff.sha256(FEATURES).alias("sha256"))
+    rows = table(spark, d, "customer").select("c_custkey", ff.sha256(people_features()).alias("sha256"))
     return rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key"))
 
 
@@ -146,17 +148,27 @@ def ttl_bucket(spark, d):
 # Decoding
 
 LINE = "l_orderkey * 8 + l_linenumber"
-LINE_KEY = (c("l_orderkey") * 8 + c("l_linenumber")).alias("frame")
-_TTL, _WIN, _SPORT = (c("l_partkey") % 255 + 1), c("l_partkey") * 13 % 65536, c("l_suppkey") % 60000 + 1024
+def line_key() -> Column:
+    return (c("l_orderkey") * 8 + c("l_linenumber")).alias("frame")
+
+def _ttl() -> Column:
+    return c("l_partkey") % 255 + 1
+
+def _win() -> Column:
+    return c("l_partkey") * 13 % 65536
+
+def _sport() -> Column:
+    return c("l_suppkey") % 60000 + 1024
+
 
 
 def line_frames(spark: SparkSession, d: str, payload: Column) -> DataFrame:
-    return table(spark, d, "lineitem").select(LINE_KEY, payload.alias("payload"))
+    return table(spark, d, "lineitem").select(line_key(), payload.alias("payload"))
 
 
-def _syn(options: Column, body: Column = raw(""), flags: Column | int = 2, df: Column | int = 1, ident: Column | int = 0) -> Column:
-    segment = s.tcp(body, _SPORT, 443, flags, _WIN, options)
-    return s.ethernet(s.ipv4(segment, 6, s.address4(c("l_orderkey")), s.address4(c("l_partkey")), _TTL, ident, df))
+def _syn(options: Column, body: Column | None = None, flags: Column | int = 2, df: Column | int = 1, ident: Column | int = 0) -> Column:
+    segment = s.tcp(raw("") if body is None else body, _sport(), 443, flags, _win(), options)
+    return s.ethernet(s.ipv4(segment, 6, s.address4(c("l_orderkey")), s.address4(c("l_partkey")), _ttl(), ident, df))
 
 
 ADDRESS_SQL = f"{s.address4_text('l_orderkey % 16777216')} AS src, {s.address4_text('l_partkey % 16777216')} AS dst"
@@ -170,21 +182,23 @@ def decode_tcp4(spark, d):
 
 
 #: Both sides of an IPv6 flow: runs of zero groups of several lengths, at the start, inside and at the end.
-V6_SRC = F.concat(raw("20010DB8"), u32(F.lit(0)), u32(c("l_linenumber") % 2), u32(c("l_orderkey")))
+def v6_source() -> Column:
+    return F.concat(raw("20010DB8"), u32(F.lit(0)), u32(c("l_linenumber") % 2), u32(c("l_orderkey")))
+
 V6_SRC_SQL = """CASE WHEN l_linenumber % 2 = 0 THEN '2001:db8::' || CASE WHEN l_orderkey < 65536 THEN to_hex(l_orderkey) ELSE to_hex(l_orderkey // 65536) || ':' || to_hex(l_orderkey % 65536) END
  ELSE '2001:db8::1:' || to_hex(l_orderkey // 65536) || ':' || to_hex(l_orderkey % 65536) END"""
 
 
 @query(f"""SELECT {LINE} AS frame, lower({V6_SRC_SQL}) AS src, 'fe80::' AS dst, (l_suppkey % 60000 + 1024)::INT AS sport, 22::INT AS dport, 64::INT AS ttl, 6::INT AS ip_version, (60 + 2)::INT AS ip_len, false AS ip_df, 0::INT AS ip_id FROM lineitem""")
 def decode_tcp6(spark, d):
-    packet = s.ipv6(s.tcp(raw("0102"), _SPORT, 22), 6, V6_SRC, F.unhex(F.lit("FE80" + "0" * 28)))
+    packet = s.ipv6(s.tcp(raw("0102"), _sport(), 22), 6, v6_source(), F.unhex(F.lit("FE80" + "0" * 28)))
     rows = tcp_segments(line_frames(spark, d, s.ethernet(packet, 0x86DD)))
     return rows.select("frame", "src", "dst", "sport", "dport", "ttl", "ip_version", "ip_len", "ip_df", "ip_id")
 
 
 @query(f"SELECT {LINE} AS frame, {ADDRESS_SQL}, (l_suppkey % 60000 + 1024)::INT AS sport, 53::INT AS dport, lower(hex(encode(l_linestatus))) AS body FROM lineitem")
 def decode_udp4(spark, d):
-    rows = udp_datagrams(line_frames(spark, d, s.udp4(text(F.col("l_linestatus")), c("l_orderkey"), c("l_partkey"), _SPORT, 53)))
+    rows = udp_datagrams(line_frames(spark, d, s.udp4(text(F.col("l_linestatus")), c("l_orderkey"), c("l_partkey"), _sport(), 53)))
     return rows.select("frame", "src", "dst", "sport", "dport", F.lower(F.hex("body")).alias("body"))
 
 
@@ -197,7 +211,7 @@ def decode_udp6(spark, d):
 @query(f"SELECT {LINE} AS frame, 6::INT AS transport, 443::INT AS dport FROM lineitem WHERE l_linenumber % 2 = 0")
 def decode_vlan(spark, d):
     """One tag is passed over; a second one hides the packet."""
-    packet = s.ipv4(s.tcp(raw(""), _SPORT, 443), 6, s.address4(c("l_orderkey")), s.address4(c("l_partkey")))
+    packet = s.ipv4(s.tcp(raw(""), _sport(), 443), 6, s.address4(c("l_orderkey")), s.address4(c("l_partkey")))
     inner = F.when(c("l_linenumber") % 2 == 0, s.ethernet(packet, 0x0800, F.lit(7))).otherwise(s.ethernet(F.concat(raw("00080800"), packet), 0x8100, F.lit(7)))
     return decode(line_frames(spark, d, inner)).select("frame", "transport", "dport")
 
@@ -220,15 +234,24 @@ def udp_length_clip(spark, d):
 
 # TCP/IP
 
-_MSS, _WS = c("l_partkey") % 65536, c("l_suppkey") % 15
-_TS = c("l_linenumber") % 3
+def _mss() -> Column:
+    return c("l_partkey") % 65536
+
+def _ws() -> Column:
+    return c("l_suppkey") % 15
+
+def _ts() -> Column:
+    return c("l_linenumber") % 3
+
 #: Four layouts of options.
-OPTIONS = (
-    F.when(c("l_linenumber") % 4 == 0, F.concat(raw("0204"), u16(_MSS), raw("0402080A"), u32(_TS), u32(c("l_linenumber") % 2), raw("010303"), u8(_WS)))
-    .when(c("l_linenumber") % 4 == 1, F.concat(raw("0204"), u16(_MSS), raw("01030300"), raw("01010402")))
-    .when(c("l_linenumber") % 4 == 2, F.concat(raw("0204"), u16(_MSS), raw("00000001")))
-    .otherwise(F.concat(raw("2206AABBCCDD"), raw("FE04"), u16(_MSS), raw("050A0000000000000000"), raw("01010309")))
+def option_bytes() -> Column:
+    return (
+    F.when(c("l_linenumber") % 4 == 0, F.concat(raw("0204"), u16(_mss()), raw("0402080A"), u32(_ts()), u32(c("l_linenumber") % 2), raw("010303"), u8(_ws())))
+    .when(c("l_linenumber") % 4 == 1, F.concat(raw("0204"), u16(_mss()), raw("01030300"), raw("01010402")))
+    .when(c("l_linenumber") % 4 == 2, F.concat(raw("0204"), u16(_mss()), raw("00000001")))
+    .otherwise(F.concat(raw("2206AABBCCDD"), raw("FE04"), u16(_mss()), raw("050A0000000000000000"), raw("01010309")))
 )
+
 OPTIONS_SQL = """CASE l_linenumber % 4
  WHEN 0 THEN 'mss' || (l_partkey % 65536) || ',sackok,ts,nop,ws' || (l_suppkey % 15)
  WHEN 1 THEN 'mss' || (l_partkey % 65536) || ',nop,ws0,nop,nop,sackok'
@@ -243,7 +266,7 @@ ROLE_SQL = "CASE WHEN l_linenumber % 6 = 0 THEN 'server' ELSE 'client' END"
 def _stack(spark: SparkSession, d: str) -> DataFrame:
     body = F.when(c("l_linenumber") % 5 == 0, raw("ABCD")).otherwise(raw(""))
     flags = F.when(c("l_linenumber") % 6 == 0, 0x12).otherwise(0x02)
-    return tcpip(tcp_segments(line_frames(spark, d, _syn(OPTIONS, body, flags, c("l_orderkey") % 2, c("l_orderkey") % 3))))
+    return tcpip(tcp_segments(line_frames(spark, d, _syn(option_bytes(), body, flags, c("l_orderkey") % 2, c("l_orderkey") % 3))))
 
 
 @query(f"SELECT {LINE} AS frame, {OPTIONS_SQL} AS opts, {QUIRKS_SQL} AS ql FROM lineitem")
@@ -272,14 +295,21 @@ def syn_only(spark, d):
 
 # TLS and DTLS
 
-ORDER_KEY = c("o_orderkey").alias("frame")
-_CIPHER, _GROUP = c("o_orderkey") % 200 + 4865, c("o_custkey") % 30 + 1
+def order_key() -> Column:
+    return c("o_orderkey").alias("frame")
+
+def _cipher() -> Column:
+    return c("o_orderkey") % 200 + 4865
+
+def _group() -> Column:
+    return c("o_custkey") % 30 + 1
+
 
 
 def order_found(spark: SparkSession, d: str, payload: Column, parse, transport: str = "tcp") -> DataFrame:
     """frame, protocol, role, features of payloads that travel in whole frames."""
     make = s.tcp4 if transport == "tcp" else s.udp4
-    frames = table(spark, d, "orders").select(ORDER_KEY, make(payload, c("o_orderkey"), c("o_custkey"), c("o_orderkey") % 60000 + 1024, 443 if transport == "tcp" else 4433).alias("payload"))
+    frames = table(spark, d, "orders").select(order_key(), make(payload, c("o_orderkey"), c("o_custkey"), c("o_orderkey") % 60000 + 1024, 443 if transport == "tcp" else 4433).alias("payload"))
     rows = tcp_segments(frames) if transport == "tcp" else udp_datagrams(frames)
     return rows.select("frame", F.explode(parse("body")).alias("f")).select("frame", "f.*")
 
@@ -287,7 +317,7 @@ def order_found(spark: SparkSession, d: str, payload: Column, parse, transport:
 def client_extensions() -> Column:
     return F.concat(
         s.extension(0x1A1A, raw("")),
-        s.extension(10, F.concat(raw("0006"), s.u16s(0x2A2A, _GROUP, 23))),
+        s.extension(10, F.concat(raw("0006"), s.u16s(0x2A2A, _group(), 23))),
         s.extension(11, raw("0100")),
         s.extension(16, prefixed(F.concat(prefixed(text(F.lower(F.substring("o_orderpriority", 3, 4))), 1), raw("026832")), 2)),
         s.extension(43, F.concat(raw("04"), s.u16s(0x3A3A, 772))),
@@ -300,18 +330,20 @@ CLIENT_SQL = "v=771|c=' || (o_orderkey % 200 + 4865) || '-4866|e=10-11-16-43-13|
 
 @query(f"SELECT o_orderkey AS frame, 'tls' AS protocol, 'client' AS role, 'tls|client|{CLIENT_SQL} AS features FROM orders")
 def tls_client(spark, d):
-    hello = s.hello_client(771, s.u16s(0x0A0A, _CIPHER, 4866), client_extensions())
+    hello = s.hello_client(771, s.u16s(0x0A0A, _cipher(), 4866), client_extensions())
     return order_found(spark, d, s.record(s.handshake(1, hello)), messages.tcp_messages)
 
 
 @query("SELECT o_orderkey AS frame, 'tls' AS protocol, 'server' AS role, 'tls|server|v=' || (769 + o_orderkey % 3) || '|c=' || (o_orderkey % 200 + 4865) || '|e=' || CASE WHEN o_orderkey % 2 = 0 THEN '43-51' ELSE '' END || '|sv=' || CASE WHEN o_orderkey % 2 = 0 THEN '772' ELSE '' END AS features FROM orders")
 def tls_server(spark, d):
-    more = s.hello_server(c("o_orderkey") % 3 + 769, _CIPHER, F.concat(s.extension(43, raw("0304")), s.extension(51, raw("001D0000")), s.extension(0x4A4A, raw(""))))
-    none = s.hello_server(c("o_orderkey") % 3 + 769, _CIPHER, None)
+    more = s.hello_server(c("o_orderkey") % 3 + 769, _cipher(), F.concat(s.extension(43, raw("0304")), s.extension(51, raw("001D0000")), s.extension(0x4A4A, raw(""))))
+    none = s.hello_server(c("o_orderkey") % 3 + 769, _cipher(), None)
     return order_found(spark, d, s.record(s.handshake(2, F.when(c("o_orderkey") % 2 == 0, more).otherwise(none))), messages.tcp_messages)
 
 
-_SERVER = s.hello_server(771, _CIPHER, None)
+def _server() -> Column:
+    return s.hello_server(771, _cipher(), None)
+
 
 
 @query("SELECT o_orderkey AS frame, 'tls|server|v=771|c=' || (o_orderkey % 200 + 4865) || '|e=|sv=' AS features FROM orders WHERE o_orderkey % 2 = 0")
@@ -319,31 +351,31 @@ def tls_truncated_record(spark, d):
     """A later record that is cut off voids the segment, hellos before it included."""
     cut = F.when(c("o_orderkey") % 2 == 0, raw("1503010001")).otherwise(raw("16030100FF01"))
     whole = F.when(c("o_orderkey") % 2 == 0, F.concat(cut, raw("00"))).otherwise(cut)
-    return order_found(spark, d, F.concat(s.record(s.handshake(2, _SERVER)), whole), messages.tcp_messages).select("frame", "features")
+    return order_found(spark, d, F.concat(s.record(s.handshake(2, _server())), whole), messages.tcp_messages).select("frame", "features")
 
 
 @query("SELECT o_orderkey AS frame, 'tls|server|v=771|c=' || (o_orderkey % 200 + 4865) || '|e=|sv=' AS features FROM orders")
 def tls_coalesced(spark, d):
     """Of several messages in a record only the first is read."""
-    both = F.concat(s.handshake(2, _SERVER), s.handshake(1, s.hello_client(771, s.u16s(1), None)))
+    both = F.concat(s.handshake(2, _server()), s.handshake(1, s.hello_client(771, s.u16s(1), None)))
     return order_found(spark, d, s.record(both), messages.tcp_messages).select("frame", "features")
 
 
 @query(f"SELECT o_orderkey AS frame, 'dtls|client|{CLIENT_SQL} AS features FROM orders")
 def dtls_client(spark, d):
-    hello = s.hello_client(771, s.u16s(_CIPHER, 4866), client_extensions(), cookie=raw("C00C1E"))
+    hello = s.hello_client(771, s.u16s(_cipher(), 4866), client_extensions(), cookie=raw("C00C1E"))
     return order_found(spark, d, s.dtls_record(1, hello), messages.dtls_messages, "udp").select("frame", "features")
 
 
 @query("SELECT o_orderkey AS frame, 'dtls|server|v=65277|c=' || (o_orderkey % 200 + 4865) || '|e=23|sv=' AS features FROM orders")
 def dtls_server(spark, d):
-    return order_found(spark, d, s.dtls_record(2, s.hello_server(0xFEFD, _CIPHER, s.extension(23, raw("")))), messages.dtls_messages, "udp").select("frame", "features")
+    return order_found(spark, d, s.dtls_record(2, s.hello_server(0xFEFD, _cipher(), s.extension(23, raw("")))), messages.dtls_messages, "udp").select("frame", "features")
 
 
 @query("SELECT o_orderkey AS frame, 'dtls|server|v=65277|c=' || (o_orderkey % 200 + 4865) || '|e=23|sv=' AS features FROM orders WHERE o_orderkey % 3 > 0")
 def dtls_fragment_skip(spark, d):
     """Fragments are passed over; another whole hello in the datagram counts, and a record of another kind ends it."""
-    hello = s.hello_server(0xFEFD, _CIPHER, s.extension(23, raw("")))
+    hello = s.hello_server(0xFEFD, _cipher(), s.extension(23, raw("")))
     part = s.dtls_record(2, F.substring(hello, 1, 20), whole=F.octet_length(hello))
     other = F.when(c("o_orderkey") % 3 == 0, raw("30FEFD" + "0" * 20)).otherwise(raw(""))
     return order_found(spark, d, F.concat(part, other, s.dtls_record(2, hello)), messages.dtls_messages, "udp").select("frame", "features")
@@ -414,13 +446,15 @@ def ike_port_filter(spark, d):
     return rows.select("frame")
 
 
-SSH_LISTS = [F.lit(x) for x in ("curve25519-sha256,ecdh-sha2-nistp256", "ssh-ed25519")] + [F.col("s_name")] * 2 + [F.lit(x) for x in ("hmac-sha2-256", "hmac-sha2-512", "none", "zlib", "", "")]
+def ssh_lists() -> list[Column]:
+    return [F.lit(x) for x in ("curve25519-sha256,ecdh-sha2-nistp256", "ssh-ed25519")] + [F.col("s_name")] * 2 + [F.lit(x) for x in ("hmac-sha2-256", "hmac-sha2-512", "none", "zlib", "", "")]
+
 SSH_SQL = "kex=curve25519-sha256,ecdh-sha2-nistp256|hostkey=ssh-ed25519|enc_c2s=' || s_name || '|enc_s2c=' || s_name || '|mac_c2s=hmac-sha2-256|mac_s2c=hmac-sha2-512|comp_c2s=none|comp_s2c=zlib|lang_c2s=|lang_s2c="
 
 
 @query("SELECT s_suppkey AS frame, 'ssh|peer|id=' || s_name || '|" + SSH_SQL + "|follows=' || CASE WHEN s_suppkey % 2 = 1 THEN 'True' ELSE 'False' END AS features FROM supplier")
 def ssh_inline(spark, d):
-    payload = F.concat(s.ssh_banner(F.col("s_name")), s.ssh_kexinit(SSH_LISTS, c("s_suppkey") % 2))
+    payload = F.concat(s.ssh_banner(F.col("s_name")), s.ssh_kexinit(ssh_lists(), c("s_suppkey") % 2))
     frames = table(spark, d, "supplier").select(c("s_suppkey").alias("frame"), s.tcp4(payload, c("s_suppkey"), c("s_nationkey"), F.lit(22), 40000).alias("payload"))
     return tcp_segments(frames).select("frame", F.explode(messages.ssh_messages("body")).alias("f")).select("frame", "f.features")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import synth as s
@@ -18,7 +18,7 @@ from ..sources import capture as captures
 from ..sources import records as record_source
 from ..streaming import stream
 from . import extract as plan
-from .catalogue import FEATURES, FEATURES_SQL, SSH_LISTS, c, query, simhash_sql, table
+from .catalogue import FEATURES_SQL, c, people_features, query, simhash_sql, ssh_lists, table
 
 ADDRESS = s.address4_text
 
@@ -33,23 +33,33 @@ FLOW_SQL = f"{ADDRESS('user_id')} AS src, (user_id % 60000 + 1024)::INT AS sport
 
 # First sight
 
-_HELLO = s.record(s.handshake(2, s.hello_server(771, c("value").cast("int") % 3 + 1, None)))
+def _hello() -> Column:
+    return s.record(s.handshake(2, s.hello_server(771, c("value").cast("int") % 3 + 1, None)))
+
 
 
 @query(f"""SELECT {FLOW_SQL}, 'tls|server|v=771|c=' || (value::INT % 3 + 1) || '|e=|sv=' AS features, (min(event_id) + 1)::INT AS frame
 FROM (SELECT event_id, user_id, trunc(value) AS value FROM events) GROUP BY user_id, value::INT % 3""")
 def first_seen(spark, d):
-    l4 = tcp_segments(event_frames(spark, d, _HELLO).drop("ts"))
+    l4 = tcp_segments(event_frames(spark, d, _hello()).drop("ts"))
     rows = l4.select("capture", "frame", *flows.FLOW, F.posexplode(messages.tcp_messages("body")).alias("place", "f")).select("*", "f.*", F.lit(0).alias("stage"))
     return flows.first_seen(rows).select(*flows.FLOW, "features", "frame")
 
 
 # SSH: of each user's packets the first is a line, later ones a key exchange (even values) or other data
 
-_LINE = s.ssh_banner(F.concat(F.lit("Soft_"), (c("event_id") % 5).cast("string")))
-_KEX = s.ssh_kexinit([F.lit("a,b"), *SSH_LISTS[1:2], *[F.lit("x")] * 8], 0)
-_KIND = F.when(c("event_id") % 4 == 0, 0).when(c("event_id") % 4 == 1, F.when(c("user_id") % 2 == 0, 1).otherwise(2)).otherwise(2)
-_SSH = F.when(_KIND == 0, _LINE).when(_KIND == 1, _KEX).otherwise(raw("DEADBEEF"))
+def _line() -> Column:
+    return s.ssh_banner(F.concat(F.lit("Soft_"), (c("event_id") % 5).cast("string")))
+
+def _kex() -> Column:
+    return s.ssh_kexinit([F.lit("a,b"), *ssh_lists()[1:2], *[F.lit("x")] * 8], 0)
+
+def _kind() -> Column:
+    return F.when(c("event_id") % 4 == 0, 0).when(c("event_id") % 4 == 1, F.when(c("user_id") % 2 == 0, 1).otherwise(2)).otherwise(2)
+
+def _ssh_bytes() -> Column:
+    return F.when(_kind() == 0, _line()).when(_kind() == 1, _kex()).otherwise(raw("DEADBEEF"))
+
 SSH_EVENTS_SQL = f"""
 e AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 AND user_id % 2 = 0 THEN 1 ELSE 2 END AS kind FROM events),
 w AS (SELECT *, last_value(CASE WHEN kind = 0 THEN event_id % 5 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS soft FROM e),
@@ -60,7 +70,7 @@ bare AS (SELECT user_id, max(event_id) AS event_id, 'Soft_' || (max(event_id) %
 
 
 def _ssh(spark: SparkSession, d: str) -> DataFrame:
-    return flows.ssh_rows(tcp_segments(event_frames(spark, d, _SSH).drop("ts")))
+    return flows.ssh_rows(tcp_segments(event_frames(spark, d, _ssh_bytes()).drop("ts")))
 
 
 @query(f"WITH {SSH_EVENTS_SQL} SELECT {FLOW_SQL}, (event_id + 1)::INT AS frame, 'ssh|peer|id=' || rest AS features FROM full_")
@@ -166,14 +176,18 @@ def jsonl_sink(spark, d):
 
 # Similarity: customers as observations; a group per segment
 
-_PEOPLE = F.concat(F.lit("tls|server|v=771|c="), (c("c_custkey") % 50 + 4865).cast("string"), F.lit("|e=43-51-10-11-13-16-23-"), (c("c_nationkey") % 5).cast("string"), F.lit("|sv=772|x=a,b,c,d,e"))
+def _people() -> Column:
+    return F.concat(F.lit("tls|server|v=771|c="), (c("c_custkey") % 50 + 4865).cast("string"), F.lit("|e=43-51-10-11-13-16-23-"), (c("c_nationkey") % 5).cast("string"), F.lit("|sv=772|x=a,b,c,d,e"))
+
 PEOPLE_SQL = "'tls|server|v=771|c=' || (c_custkey % 50 + 4865) || '|e=43-51-10-11-13-16-23-' || (c_nationkey % 5) || '|sv=772|x=a,b,c,d,e'"
-_PROTOCOL = F.when(c("c_custkey") % 3 == 0, "quic").otherwise("tls")
+def _protocol() -> Column:
+    return F.when(c("c_custkey") % 3 == 0, "quic").otherwise("tls")
+
 
 
 def people(spark: SparkSession, d: str, cross_roles: bool = False) -> DataFrame:
     flow = F.struct(F.concat(F.lit("h"), (c("c_custkey") % 40).cast("string")).alias("src"), F.lit(1).alias("sport"), F.when(c("c_custkey") % 7 == 0, "").otherwise("srv").alias("dst"), F.lit(443).alias("dport"))
-    rows = table(spark, d, "customer").select((c("c_custkey") + 1).alias("record"), _PROTOCOL.alias("protocol"), F.col("c_mktsegment").alias("role"), _PEOPLE.alias("features"), flow.alias("flow"), c("c_custkey").cast("int").alias("frame"))
+    rows = table(spark, d, "customer").select((c("c_custkey") + 1).alias("record"), _protocol().alias("protocol"), F.col("c_mktsegment").alias("role"), _people().alias("features"), flow.alias("flow"), c("c_custkey").cast("int").alias("frame"))
     return similarity.records(fingerprint_columns(rows), cross_roles)
 
 
@@ -364,7 +378,7 @@ def dissector_tls(spark, d):
 @query(f"SELECT c_mktsegment AS segment, {FEATURES_SQL} AS features, count(*) AS expected, sum(CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END)::BIGINT AS found FROM customer GROUP BY 1, 2 HAVING count(*) <> sum(CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END)")
 def multiset_difference(spark, d):
     """A full outer join of counts: what is missing or unexpected, or differs in number."""
-    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), FEATURES.alias("features"), "c_custkey")
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), people_features().alias("features"), "c_custkey")
     count = lambda df, name: df.groupBy("segment", "features").agg(F.count(F.lit(1)).alias(name))
     both = count(rows, "expected").join(count(rows.where("c_custkey % 5 > 0"), "found"), ["segment", "features"], "full_outer").fillna(0, ["expected", "found"])
     return both.where("expected <> found")
@@ -376,7 +390,7 @@ def multiset_difference(spark, d):
 @query(f"SELECT c_custkey, sha256({FEATURES_SQL}) AS digest, (c_custkey & 3855) = 2570 AND (c_custkey // 256) = (c_custkey & 255) AS reserved, 0::INT AS distance FROM customer")
 def sql_scalar_functions(spark, d):
     sql_functions.register(spark)
-    table(spark, d, "customer").select("c_custkey", FEATURES.alias("f")).createOrReplaceTempView("sql_people")
+    table(spark, d, "customer").select("c_custkey", people_features().alias("f")).createOrReplaceTempView("sql_people")
     return spark.sql("SELECT c_custkey, fan_sha256(f) AS digest, is_grease(c_custkey) AS reserved, hamming128(fan_simhash128(f), fan_simhash128(f)) AS distance FROM sql_people")
 
 
@@ -440,14 +454,14 @@ def _stream_frames(spark: SparkSession, d: str, payload) -> DataFrame:
 @query(f"""SELECT {FLOW_SQL}, 'tls|server|v=771|c=' || (value::INT % 3 + 1) || '|e=|sv=' AS features, (min(event_id) + 1)::INT AS frame
 FROM (SELECT event_id, user_id, trunc(value) AS value FROM events) GROUP BY user_id, value::INT % 3""")
 def stream_first_seen(spark, d):
-    rows = tcp_segments(_stream_frames(spark, d, _HELLO)).select("capture", "frame", *flows.FLOW, F.explode(messages.tcp_messages("body")).alias("f")).select("*", "f.*")
+    rows = tcp_segments(_stream_frames(spark, d, _hello())).select("capture", "frame", *flows.FLOW, F.explode(messages.tcp_messages("body")).alias("f")).select("*", "f.*")
     return stream.drain(stream.first_frames(rows), "complete").select(*flows.FLOW, "features", "frame")
 
 
 @query(f"WITH {SSH_EVENTS_SQL} SELECT {FLOW_SQL}, (event_id + 1) AS frame, 'ssh|peer|id=' || rest AS features FROM full_")
 def stream_ssh(spark, d):
     """The drained stream gives the completed flows of the batch; lines alone wait for their time limit."""
-    rows = tcp_segments(_stream_frames(spark, d, _SSH))
+    rows = tcp_segments(_stream_frames(spark, d, _ssh_bytes()))
     line = messages.is_banner(F.col("body"))
     rows = rows.where(line | messages.maybe_kexinit(F.col("body"))).select("capture", "frame", "ts", *flows.FLOW, messages.ssh_software(F.when(line, F.col("body"))).alias("software"), messages.ssh_lists("body").alias("lists"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
