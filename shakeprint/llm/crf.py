@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +78,13 @@ class Chain:
         return labels[::-1]
 
 
+def numbered(features: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(names, column, row) for train() of the features of each kind."""
+    names = {f: k for k, f in enumerate(dict.fromkeys(f for fs in features for f in fs))}
+    column = np.fromiter((names[f] for fs in features for f in fs), np.int64)
+    return list(names), column, np.repeat(np.arange(len(features)), [len(fs) for fs in features])
+
+
 @dataclass
 class Model:
     chain: Chain
@@ -89,12 +96,10 @@ class Model:
         return self.bias + sum(get(f, 0.0) for f in features)
 
 
-def train(kinds: list[list[str]], kind: np.ndarray, label: np.ndarray, first: np.ndarray, rounds: int = 40, rate: float = 0.3, decay: float = 1e-6, least: float = 0.02, told: Callable | None = None) -> Model:
-    """Maximum likelihood by full-batch Adam. kinds: the features of each kind of position; kind: that of every
-    position; label: 0 or 1; first: starts of sequences. Weights below `least` are dropped."""
-    names = {f: k for k, f in enumerate(dict.fromkeys(f for fs in kinds for f in fs))}
-    column = np.fromiter((names[f] for fs in kinds for f in fs), np.int64)
-    row = np.repeat(np.arange(len(kinds)), [len(fs) for fs in kinds])
+def train(names: list[str], column: np.ndarray, row: np.ndarray, kind: np.ndarray, label: np.ndarray, first: np.ndarray, rounds: int = 40, rate: float = 0.3, decay: float = 1e-6, least: float = 0.02) -> Model:
+    """Maximum likelihood by full-batch Adam. names: of the features; column, row: which feature each kind of position
+    has; kind: that of every position; label: 0 or 1; first: starts of sequences. Weights below `least` are dropped."""
+    size = int(kind.max()) + 1
     at = len(names)
     # weights, then the bias, the start and the four moves
     w, m, v = np.zeros(at + 6), np.zeros(at + 6), np.zeros(at + 6)
@@ -105,12 +110,12 @@ def train(kinds: list[list[str]], kind: np.ndarray, label: np.ndarray, first: np
     total = max(1, len(kind))
     for step in range(1, rounds + 1):
         chain = Chain(w[at + 2 :].reshape(2, 2), w[at + 1])
-        score = w[at] + np.bincount(row, w[column], len(kinds))
+        score = w[at] + np.bincount(row, w[column], size)
         odds = score[kind]
         x, forward, backward = chain.ratios(odds, first)
         p = 1.0 - 1.0 / (1.0 + forward * backward)
         off = label - p
-        by_kind = np.bincount(kind, off, len(kinds))
+        by_kind = np.bincount(kind, off, size)
         grad = np.empty_like(w)
         grad[:at] = np.bincount(column, by_kind[row], at)
         grad[at], grad[at + 1] = off.sum(), off[first].sum()
@@ -120,7 +125,5 @@ def train(kinds: list[list[str]], kind: np.ndarray, label: np.ndarray, first: np
         grad = grad / total - decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        if told:
-            told(step, float(np.abs(off).mean()))
-    kept = {f: float(w[k]) for f, k in names.items() if abs(w[k]) >= least}
+    kept = {names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w[:at]) >= least).tolist()}
     return Model(Chain(w[at + 2 :].reshape(2, 2).copy(), float(w[at + 1])), float(w[at]), kept)

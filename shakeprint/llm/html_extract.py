@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_per_batch
-from .crf import Model, train
+from .common import by_chars, rows
+from .crf import Model, numbered, train
 from .html_blocks import Block, Element, leaf_blocks
 from .html_pages import labelled_pages
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 @lru_cache(maxsize=20_000)
@@ -62,7 +62,7 @@ def fit(pages: list[tuple[list[Block], list[int]]]) -> Model:
     label = np.array([y for _, labels in pages for y in labels], np.int64)
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *(len(b) for b, _ in pages[:-1])])] = True
-    return train([features(b) for b in flat], np.arange(len(flat)), label, first, rounds=200, rate=0.2, decay=1e-5, least=0.005)
+    return train(*numbered([features(b) for b in flat]), np.arange(len(flat)), label, first, rounds=200, rate=0.2, decay=1e-5, least=0.005)
 
 
 def main_text(html: str | None, model: Model | None = None) -> str:
@@ -102,7 +102,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def run(batches):
         for batch in batches:
-            for some in words_per_batch(zip(*(batch.column(k).to_pylist() for k in (0, 2, 1)), strict=True), BATCH_CHARS):
+            for some in by_chars(rows(batch, 0, 2, 1), BATCH_CHARS):
                 texts = [main_text(html, model) for _, html, _ in some]
                 arrays = [pa.array([i for i, _, _ in some], batch.schema.field(0).type), pa.array([u for _, _, u in some], batch.schema.field(1).type), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, words_per_batch
+from .common import by_chars, held_out, rows
 from .crf import Model, train as train_chain
 from .sampling import labelled_ids, labelled_texts
 
 #: Labelled rows taken of each label, and the longest text taken to learn from.
-SAMPLE_ROWS, SAMPLE_MAX_CHARS = 1_500, 20_000
+SAMPLE_ROWS, SAMPLE_MAX_CHARS = 1_000, 20_000
 #: A word or beginning marks toxic words if it is in so many toxic texts and such a share of them, is so much likelier
 #: there, and the log likelihood that this isn't chance is so large.
 SEED_TEXTS, SEED_SHARE, SEED_RATIO, SEED_EVIDENCE = 8, 0.015, 5.0, 20.0
 PREFIXES = range(3, 9)
+#: Texts of the sample in which a feature must occur to have a weight.
+FEATURE_TEXTS = 3
 #: Passages of so many words that an earlier text has are not learned from again.
 PASSAGE_WORDS = 5
-BATCH_CHARS, CACHE_WORDS = 2_000_000, 400_000
+BATCH_CHARS, CACHE_WORDS = 1_000_000, 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -115,43 +117,65 @@ def fit_scores(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w.tolist()
 
 
-def fresh(lists: list[list[str]]) -> list[np.ndarray]:
-    """True for the words of each text that are in no passage of an earlier text."""
-    seen: set[tuple] = set()
+def fresh(lists: list[list[str]]) -> np.ndarray:
+    """True for the words, text after text, that are in no passage of an earlier text."""
+    seen: set[int] = set()
     out = []
     for words in lists:
         keep = np.ones(len(words), bool)
-        shingles = list(zip(*(words[k:] for k in range(PASSAGE_WORDS)), strict=False))
+        shingles = [hash(x) for x in zip(*(words[k:] for k in range(PASSAGE_WORDS)), strict=False)]
         for k, s in enumerate(shingles):
             if s in seen:
                 keep[k : k + PASSAGE_WORDS] = False
         seen.update(shingles)
         out.append(keep)
-    return out
-
-
-def seeds(lists: list[list[str]], toxic: np.ndarray, new: list[np.ndarray]) -> set[str]:
-    """Words and beginnings that occur far more often in toxic texts than in clean ones."""
-    texts: list[dict[str, int]] = [{}, {}]
-    times: list[dict[str, int]] = [{}, {}]
-    size = [1, 1]
-    for words, y, keep in zip(lists, toxic.tolist(), new, strict=True):
-        mine: dict[str, int] = {}
-        for word in (w for w, k in zip(words, keep.tolist(), strict=True) if k):
-            size[y] += 1
-            for f in features(word):
-                mine[f] = mine.get(f, 0) + 1
-        for f, n in mine.items():
-            texts[y][f] = texts[y].get(f, 0) + 1
-            times[y][f] = times[y].get(f, 0) + n
+    return np.concatenate(out)
+
+
+@dataclass
+class Table:
+    """The features of each kind of word, as numbers: those of kind k are flat[start[k] : start[k + 1]]."""
+
+    names: list[str]
+    flat: np.ndarray
+    start: np.ndarray
+
+    def of(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all those kinds, and from which of them each comes."""
+        size = self.start[kinds + 1] - self.start[kinds]
+        at = np.repeat(self.start[kinds] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.flat[at], np.repeat(np.arange(len(kinds)), size)
+
+
+def feature_table(words: list[str]) -> Table:
+    names: dict[str, int] = {}
+    flat, start = [], [0]
+    for w in words:
+        flat += [names.setdefault(f, len(names)) for f in features(w)]
+        start.append(len(flat))
+    return Table(list(names), np.array(flat, np.int64), np.array(start, np.int64))
+
+
+def count(table: Table, kind: np.ndarray, size: np.ndarray, toxic: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By clean and toxic: texts with each feature, its occurrences, and words; only of words in new passages."""
+    texts, times, words = np.zeros((2, len(table.names))), np.zeros((2, len(table.names))), np.ones(2)
+    ends = np.cumsum(size)
+    for a, b, y in zip((ends - size).tolist(), ends.tolist(), toxic.tolist(), strict=True):
+        mine, n = np.unique(kind[a:b][new[a:b]], return_counts=True)
+        ids, of = table.of(mine)
+        held, inverse = np.unique(ids, return_inverse=True)
+        texts[y, held] += 1
+        times[y, held] += np.bincount(inverse, n[of], len(held))
+        words[y] += n.sum()
+    return texts, times, words
+
+
+def seeds(texts: np.ndarray, times: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which features (words and beginnings) occur far more often in toxic texts than in clean ones."""
     n0, n1 = int((toxic == 0).sum()) + 1, int(toxic.sum()) + 1
-    out = set()
-    for f, d1 in texts[1].items():
-        d0 = texts[0].get(f, 0)
-        ratio = (times[1][f] / size[1]) / ((times[0].get(f, 0) + 0.5) / size[0])
-        if d1 >= max(SEED_TEXTS, SEED_SHARE * n1) and ratio >= SEED_RATIO and d1 * math.log((d1 / n1) / ((d0 + 0.5) / n0) + 1e-9) >= SEED_EVIDENCE:
-            out.add(f)
-    return out
+    ratio = times[1] / words[1] / ((times[0] + 0.5) / words[0])
+    evidence = texts[1] * np.log((texts[1] + 1e-9) / n1 / ((texts[0] + 0.5) / n0))
+    return (texts[1] >= max(SEED_TEXTS, SEED_SHARE * n1)) & (ratio >= SEED_RATIO) & (evidence >= SEED_EVIDENCE)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
@@ -164,20 +188,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = np.array([y for _, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         prior = float(toxic.mean()) if len(rows) else 0.0
-        return Toxicity(train_chain([["none"]], np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool), rounds=1), [10.0 * (prior * 2 - 1), 0.0, 0.0, 0.0, 0.0])
+        return Toxicity(train_chain(["none"], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool), rounds=1), [10.0 * (prior * 2 - 1), 0.0, 0.0, 0.0, 0.0])
     lists = [WORD.findall(lowered(t)) for t, _ in rows]
     new = fresh(lists)
-    marked = seeds(lists, toxic, new)
     kinds = {w: k for k, w in enumerate(dict.fromkeys(flat.from_iterable(lists)))}
-    listed = [features(w) for w in kinds]
-    is_marked = np.array([not marked.isdisjoint(fs) for fs in listed])
     kind = np.fromiter((kinds[w] for w in flat.from_iterable(lists)), np.int64)
     size = np.array([len(x) for x in lists])
+    table = feature_table(list(kinds))
+    del lists, kinds
+    texts, times, total = count(table, kind, size, toxic, new)
+    marked = seeds(texts, times, total, toxic)
+    ids, of = table.of(np.arange(len(table.start) - 1))
+    is_marked = np.bincount(of, marked[ids], len(table.start) - 1) > 0
     label = (is_marked[kind] & (np.repeat(toxic, size) == 1)).astype(np.int64)
     first = np.zeros(len(kind), bool)
     first[(np.cumsum(size) - size)[size > 0]] = True
-    model = Toxicity(train_chain(listed, kind, label, first), [0.0] * SUMMARY)
-    x = np.array([summary(p) for at in range(0, len(rows), 500) for p in model.marginals([t for t, _ in rows[at : at + 500]])])
+    used = texts.sum(0) >= FEATURE_TEXTS
+    model = Toxicity(train_chain(table.names, ids[used[ids]], of[used[ids]], kind, label, first), [0.0] * SUMMARY)
+    x = np.array([summary(p) for at in range(0, len(rows), 200) for p in model.marginals([t for t, _ in rows[at : at + 200]])])
     share = {1: sum(n for k, n in counts.items() if k == 1), 0: sum(n for k, n in counts.items() if k != 1)}
     weight = np.where(toxic == 1, share[1] / max(1, toxic.sum()), share[0] / max(1, (toxic == 0).sum()))
     model.weights = fit_scores(x, toxic, weight / weight.mean())
@@ -199,7 +227,7 @@ def score(df: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str
     def run(batches):
         for batch in batches:
             scores, marked = [], []
-            for some in words_per_batch(zip(range(batch.num_rows), batch.column(1).to_pylist(), strict=True), BATCH_CHARS):
+            for some in by_chars(rows(batch, 0, 1), BATCH_CHARS):
                 p = model.marginals([t for _, t in some])
                 scores += model.scores(p).tolist()
                 marked += [spans(t, x) if len(x) and x.max() > 0.5 else "" for (_, t), x in zip(some, p, strict=True)]
