@@ -12,6 +12,10 @@ from shakeprint.llm.common import materialise, table
 ORACLE_SQL = None
 
 
+#: Workers serve all stages, so none may keep much: words whose ids packing keeps in each.
+PACK_CHUNKS = 100_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the tagger predicts to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -37,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_chunks=PACK_CHUNKS)
 
 
 STAGES = [

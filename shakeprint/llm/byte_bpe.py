@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunk_cache import ChunkCache, byte_bpe
-from .common import words_per_batch
+from .common import by_chars, rows
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -89,7 +89,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         codec = Codec(path, pattern)
         for batch in batches:
-            for some in words_per_batch(zip(*(c.to_pylist() for c in batch.columns), strict=True), BATCH_CHARS):
+            for some in by_chars(rows(batch), BATCH_CHARS):
                 ids = codec.encode([t for _, t in some])
                 columns = [
                     [len(x) // 4 for x in ids],

@@ -24,9 +24,10 @@ class ChunkCache:
     bytes, and may look up chunks that are known.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list, dict], list[bytes]]):
-        self.split, self.encode = split, encode
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list, dict], list[bytes]], limit: int = CACHE_CHUNKS):
+        self.split, self.encode, self.limit = split, encode, limit
         self.known: dict = {}
+        self.latest: list = []
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -42,11 +43,17 @@ class ChunkCache:
             found[k] = self.known[flat[k]]
         ends = list(accumulate(map(len, parts)))
         out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        if len(self.known) > CACHE_CHUNKS:
-            used = set(flat)
-            self.known = {k: self.known[k] for k in used} if len(used) <= CACHE_CHUNKS else {}
+        self.latest = flat
+        if len(self.known) > self.limit:
+            self.trim()
         return out
 
+    def trim(self) -> None:
+        """Keeps the chunks of the latest texts only: frequent ones are among them."""
+        used = set(self.latest)
+        self.known = {k: self.known[k] for k in used} if len(used) <= self.limit else {}
+        self.latest = []
+
 
 def id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
@@ -64,7 +71,7 @@ def split_at(ids: list[int], last: np.ndarray, count: int, drop: int) -> list[by
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> ChunkCache:
+def word_bpe(path: str, limit: int = CACHE_CHUNKS) -> ChunkCache:
     """A BPE with word ends whose pre-tokenizer drops white space: chunks are runs without ASCII white space."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -111,7 +118,7 @@ def word_bpe(path: str) -> ChunkCache:
         known.update(ids)
         return [known[w] if len(w) == len(c) else known[w] + ends[c[-1]] for c, w in zip(chunks, bare, strict=True)]
 
-    return ChunkCache(lambda text: text.encode().split(), encode)
+    return ChunkCache(lambda text: text.encode().split(), encode, limit)
 
 
 #: The characters that \s matches in the pattern of byte-level vocabularies (Unicode White_Space).

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialise, shared_dir
+
+__all__ = ["attach_by_share", "by_chars", "crc_fold", "default_salts", "fold", "hash_share", "held_out", "materialise", "rows", "shared_dir", "table"]
+
 #: Rows whose crc32(id as text) leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -17,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shakeprint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def default_salts(spark: SparkSession) -> int:
     """Shares of a hot group: four a shuffle partition, so a group of a third of all rows fills a twelfth of one at most."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -67,13 +52,20 @@ def attach_by_share(rows: DataFrame, classes: DataFrame, key: str, salt: Column,
     return salted.join(shares, [key, "_salt"], how).drop("_salt")
 
 
-def words_per_batch(pairs, limit_chars: int):
-    """Cuts (id, text) pairs into lists of about limit_chars characters."""
+def rows(batch, *columns: int):
+    """Tuples of a record batch's columns (all by default), made a few rows at a time."""
+    columns = columns or range(batch.num_columns)
+    for at in range(0, batch.num_rows, 256):
+        yield from zip(*(batch.column(k).slice(at, 256).to_pylist() for k in columns), strict=True)
+
+
+def by_chars(tuples, limit: int):
+    """Cuts tuples (of which the second is a text) into lists of about limit characters."""
     out, size = [], 0
-    for pair in pairs:
-        out.append(pair)
-        size += len(pair[1] or "")
-        if size >= limit_chars:
+    for t in tuples:
+        out.append(t)
+        size += len(t[1] or "")
+        if size >= limit:
             yield out
             out, size = [], 0
     if out:

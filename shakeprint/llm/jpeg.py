@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_per_batch
+from .common import by_chars, rows
 
 #: Samples a row: each becomes a block of 8 x 8 equal pixels. A side has 65,535 pixels at most, so longer payloads take
 #: several images, one after another.
@@ -342,10 +342,10 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_me
 
     def run(batches):
         for batch in batches:
-            for some in words_per_batch(zip(*(c.to_pylist() for c in batch.columns), strict=True), BATCH_CHARS):
-                rows = describe([t for _, t in some], keep_media)
+            for some in by_chars(rows(batch), BATCH_CHARS):
+                told = describe([t for _, t in some], keep_media)
                 arrays = [pa.array([i for i, _ in some], batch.schema.field(0).type)]
-                arrays += [pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)]
+                arrays += [pa.array(list(c), types[t]) for c, (_, t) in zip(zip(*told, strict=True), columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

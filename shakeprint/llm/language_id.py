@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, words_per_batch
+from .common import by_chars, held_out, rows
 from .sampling import labelled_ids, labelled_texts
 
 #: Labelled rows taken of each language, the longest one taken, the characters each may give, and those learned in all.
 SAMPLE_ROWS, SAMPLE_MAX_CHARS, ROW_CHARS, TRAIN_CHARS = 96, 20_000, 1_000, 24_000
 #: Texts are parsed in segments of so many characters, each from a fresh phrase, so that numpy steps through many at once.
-SEGMENT, BATCH_CHARS = 512, 2_000_000
+SEGMENT, BATCH_CHARS = 512, 1_000_000
 #: A passage that rows share is this many words at least.
 PASSAGE_WORDS = 5
 #: Sharpness of the score: the entropy difference, in bits a character, that makes one language e times likelier.
@@ -87,17 +87,20 @@ class CrossParser:
         tables, self.roots, self.bits, base = [], [], [], 0
         for k in self.languages:
             sam = SuffixAutomaton(self.classes[folded[k]].tolist())
-            # A symbol that ends the phrase starts the next one: it leads where it leads from the root, and counts 1.
-            go = np.zeros((len(sam.next), self.width), np.int64)
-            go[:] = [[2 * sam.next[0].get(c, 0) + 1 for c in range(self.width)]]
-            go[:, 0] = 2 * np.arange(len(sam.next))
+            # A symbol that ends the phrase starts the next one: it leads where it leads from the root, and counts 1. One
+            # that the language lacks is a phrase of its own: behind it, in the last state, any symbol starts another.
+            lone = len(sam.next)
+            go = np.zeros((lone + 1, self.width), np.int64)
+            go[:] = [[2 * sam.next[0].get(c, lone) + 1 for c in range(self.width)]]
+            go[0] -= 1  # nothing ends at the start
             for state, edges in enumerate(sam.next):
                 go[state, list(edges)] = [2 * x for x in edges.values()]
+            go[:, 0] = 2 * np.arange(lone + 1)
             # States are stored as offsets into the joined table, so one addition finds an entry.
             tables.append((((go >> 1) + base) * self.width << 1 | go & 1).astype(np.int32).ravel())
             self.roots.append(base * self.width)
             self.bits.append(math.log2(max(2, len(folded[k]))))
-            base += len(sam.next)
+            base += lone + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +124,6 @@ class CrossParser:
                 state = self.table[state + column]
                 broken += state & 1
                 state >>= 1
-            # A first symbol that the root lacks has already been counted as a phrase of its own.
             np.add.at(count[:, k], owner, broken)
         return count, size
 
@@ -200,7 +202,7 @@ def identify(df: DataFrame, learned: tuple[tuple[str, str], ...], id_col: str =
         parser = _parser(learned)
         for batch in batches:
             found = []
-            for some in words_per_batch(zip(range(batch.num_rows), batch.column(1).to_pylist(), strict=True), BATCH_CHARS):
+            for some in by_chars(rows(batch, 0, 1), BATCH_CHARS):
                 found += parser.predict([t for _, t in some])
             lang, score, rate = map(list, zip(*found, strict=True)) if found else ([], [], [])
             arrays = [batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), *([batch.column(3)] if carry else [])]

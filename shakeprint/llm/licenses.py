@@ -14,7 +14,7 @@ Texts = list[tuple[str, str]]
 SMALL = 10_000
 #: Lines that only name holders and years.
 COPYRIGHT_WORDS = ("copyright", "(c)", "©", "all rights reserved")
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright[ \t:,]*(\(c\)|©|[0-9<{\[]|by )|copyright [^\n]*[12][0-9][0-9][0-9]|(\(c\)|©)[ \t]*(copyright|[0-9])|all rights reserved)[^\n]*"
 #: ASCII that is no letter or digit, and typographic punctuation.
 PUNCTUATION = r"[\x00-/:-`{-\x7f‘’“”–—®™•… ]+"
 #: Spellings that count as one.

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import word_bpe
-from .common import words_per_batch
+from .chunk_cache import CACHE_CHUNKS, word_bpe
+from .common import by_chars, rows
 
 CAPACITY, SEGMENTS = 2048, 512
 #: The id that ends each example.
@@ -119,6 +119,7 @@ class Packer:
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokenizer: str | None = None,
     capacity: int = CAPACITY, max_segments: int = SEGMENTS, max_loss: int | None = None, end_id: int = END_ID,
+    cache_chunks: int = CACHE_CHUNKS,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
@@ -128,7 +129,7 @@ def pack(
 
     Null text counts as empty: its only token is end_id. Tokens of prompt_col come first and bear no loss. Repeated
     rows and repeated ids are packed separately; null ids are kept. An empty table gives no rows. Other columns are
-    not read, whatever their names.
+    not read, whatever their names. cache_chunks: words whose ids a worker keeps, about 200 bytes each.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     id_type = df.schema[id_col].dataType
@@ -137,9 +138,9 @@ def pack(
     cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("prompt")]
 
     def run(batches):
-        cache, packer = word_bpe(path), Packer(capacity, max_segments, max_loss)
+        cache, packer = word_bpe(path, cache_chunks), Packer(capacity, max_segments, max_loss)
         end = np.array([end_id], "<u4").tobytes()
-        first, number, rows = TaskContext.get().partitionId() << 36, 0, []
+        first, number, placed = TaskContext.get().partitionId() << 36, 0, []
 
         def note(sequences):
             nonlocal number
@@ -148,29 +149,29 @@ def pack(
                 for e, start, n in pieces:
                     crc = zlib.crc32(e.ids[4 * start : 4 * (start + n)])
                     loss = max(0, start + n - max(start, e.prompt))
-                    rows.append((e.key, start, n, crc, e.total, first + number, offset, loss))
+                    placed.append((e.key, start, n, crc, e.total, first + number, offset, loss))
                     offset += n
                 number += 1
 
         def flush():
-            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            columns = zip(*placed, strict=True) if placed else [[]] * 8
             arrays = [pa.array(c, t) for c, t in zip(map(list, columns), [id_arrow, *[pa.int64()] * 7], strict=True)]
-            rows.clear()
+            placed.clear()
             return pa.RecordBatch.from_arrays(arrays, names=[id_col, *names])
 
         id_arrow = pa.int64()
         for batch in batches:
             id_arrow = batch.schema.field("id").type
-            triples = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for some in words_per_batch(((i, t, p) for i, t, p in triples), BATCH_CHARS):
+            for some in by_chars(rows(batch), BATCH_CHARS):
                 texts = cache.ids([t for _, t, _ in some])
                 prompts = cache.ids([p for _, _, p in some]) if prompt_col else [b""] * len(some)
                 for (key, _, _), ids, prompt in zip(some, texts, prompts, strict=True):
                     note(packer.add(Example(key, prompt + ids + end, len(prompt) // 4)))
-                if rows:
+                if placed:
                     yield flush()
         note(packer.pack())
-        if rows:
+        cache.latest = []
+        if placed:
             yield flush()
 
     return df.select(*cols).mapInArrow(run, schema)

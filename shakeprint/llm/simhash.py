@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach_by_share, default_salts, materialise, words_per_batch
-from .components import components
+from ..operators.components import components
+from .common import attach_by_share, by_chars, default_salts, materialise, rows
 from .golay import around, nearest
 
 SHINGLE_WORDS, SEED, BITS = 3, 42, 3
 #: (first bit, width) of the segments; each is padded to 23 bits with zeros.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -93,7 +93,7 @@ def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            for some in words_per_batch(zip(*(c.to_pylist() for c in batch.columns), strict=True), BATCH_CHARS):
+            for some in by_chars(rows(batch), BATCH_CHARS):
                 fps = fingerprints([t for _, t in some], words_each, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], batch.schema.field(0).type), pa.array(fps)], names=["id", "fp"])
 
