@@ -18,7 +18,7 @@ from . import ike, rdp, ssh, tls
 
 RESPONSES = "host string, port int, protocol string, probe string, probe_rank int, response binary, flow struct<src:string,sport:int,dst:string,dport:int>"
 #: Ports that are probed without force.
-PORTS = {"tls": (443, 465, 636, 853, 990, 992, 993, 994, 995, 8443, 9443), "dtls": (443, 4433, 5684, 853, 3478, 5349), "ssh": (22,), "rdp": (3389,), "ike": (500, 4500)}
+PORTS = {"tls": (443, 465, 636, 853, 993, 995, 8443, 9443), "dtls": (443, 465, 636, 853, 993, 995, 8443, 9443), "ssh": (22,), "rdp": (3389,), "ike": (500, 4500)}
 SSL2_SERVER_HELLO, HELLO_VERIFY = 4, 3
 
 

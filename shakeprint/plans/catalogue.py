@@ -185,7 +185,7 @@ def decode_tcp4(spark, d):
 def v6_source() -> Column:
     return F.concat(raw("20010DB8"), u32(F.lit(0)), u32(c("l_linenumber") % 2), u32(c("l_orderkey")))
 
-V6_SRC_SQL = """CASE WHEN l_linenumber % 2 = 0 THEN '2001:db8::' || CASE WHEN l_orderkey < 65536 THEN to_hex(l_orderkey) ELSE to_hex(l_orderkey // 65536) || ':' || to_hex(l_orderkey % 65536) END
+V6_SRC_SQL = """CASE WHEN l_linenumber % 2 = 0 THEN '2001:db8::' || CASE WHEN l_orderkey = 0 THEN '' WHEN l_orderkey < 65536 THEN to_hex(l_orderkey) ELSE to_hex(l_orderkey // 65536) || ':' || to_hex(l_orderkey % 65536) END
  ELSE '2001:db8::1:' || to_hex(l_orderkey // 65536) || ':' || to_hex(l_orderkey % 65536) END"""
 
 

@@ -154,7 +154,7 @@ def mixed_observations(spark: SparkSession, d: str) -> DataFrame:
     return plan.extract(materialise(mixed_packets(spark, d)))
 
 
-@query(f"WITH {MIXED_SQL} SELECT protocol, role, src, features, frame, sha256(features) AS sha256 FROM raw_")
+@query(f"WITH {MIXED_SQL} SELECT protocol, role, src, features, frame::BIGINT AS frame, sha256(features) AS sha256 FROM raw_")
 def extract_all(spark, d):
     return mixed_observations(spark, d).select("protocol", "role", "flow.src", "features", "frame", "sha256")
 
@@ -349,7 +349,7 @@ def active_dtls_cookie(spark, d):
     return rows.select("p_partkey", F.lower(F.hex(active.dtls_cookie("response"))).alias("cookie"))
 
 
-@query("SELECT l_linenumber AS k, count(*) AS n FROM lineitem WHERE l_partkey % 1000 IN (443, 465, 636, 853) GROUP BY 1")
+@query("SELECT l_linenumber AS k, count(*) AS n FROM lineitem WHERE l_partkey % 1000 IN (443, 465, 636, 853, 993, 995) GROUP BY 1")
 def active_port_rule(spark, d):
     return table(spark, d, "lineitem").where(active.probed_by_default(F.lit("tls"), (c("l_partkey") % 1000).cast("int"))).groupBy(F.col("l_linenumber").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
