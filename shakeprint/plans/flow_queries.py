@@ -86,17 +86,18 @@ def ssh_banner_only(spark, d):
 # QUIC
 
 
-def _quic_frames(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
+def _quic_frames(spark: SparkSession, d: str, broken: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """Client Initials of orders, each with a hello in one CRYPTO frame; broken: sealed with the keys of another id."""
     hello = s.handshake(1, s.hello_client(771, s.u16s(c("o_orderkey") % 200 + 4865), s.extension(16, prefixed(prefixed(text(F.lit("h3")), 1), 2))))
-    frames = table(spark, d, "orders").select("o_orderkey", "o_custkey", hello.alias("hello"))
+    rows = table(spark, d, "orders") if rows is None else rows
+    frames = rows.select("o_orderkey", "o_orderdate", hello.alias("hello"))
     frames = frames.withColumn("frames", F.concat(raw("0600"), s.varint2(F.octet_length("hello")), F.col("hello"), F.unhex(F.repeat(F.lit("00"), 40))))
     dcid = F.concat(raw("AABBCC"), F.unhex(F.lpad(F.hex(c("o_orderkey")), 10, "0")))
     frames = frames.withColumns({"dcid": dcid, "number": u16(c("o_orderkey") % 65536)})
     frames = frames.withColumn("header", s.quic_header(1, F.col("dcid"), raw("0102"), raw(""), F.octet_length("frames") + 18, 2))
     keys = F.concat(F.col("dcid"), raw("00")) if broken else F.col("dcid")
     frames = frames.withColumn("body", quic.seal_packet(F.col("header"), F.col("number"), 2, F.col("frames"), F.lit(1), keys, "client in"))
-    return frames.select(F.lit("orders").alias("capture"), (c("o_orderkey") + 1).cast("int").alias("frame"), s.udp4(F.col("body"), c("o_orderkey"), F.lit(2), c("o_orderkey") % 60000 + 1024, 443).alias("payload"))
+    return frames.select(F.lit("orders").alias("capture"), (c("o_orderkey") + 1).cast("int").alias("frame"), F.col("o_orderdate").cast("timestamp").alias("ts"), s.udp4(F.col("body"), c("o_orderkey"), F.lit(2), c("o_orderkey") % 60000 + 1024, 443).alias("payload"))
 
 
 QUIC_FLOW_SQL = f"(o_orderkey + 1) AS frame, {ADDRESS('o_orderkey')} AS src, (o_orderkey % 60000 + 1024)::INT AS sport"
@@ -471,3 +472,26 @@ def stream_ssh(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out.select(*flows.FLOW, "frame", "features")
+
+
+ORDERS_SQL = "'client' AS role, 'quic|client|v=1|tls_v=771|c=' || (o_orderkey % 200 + 4865) || '|e=16|g=|p=|sv=|alpn=h3|sig=' AS features FROM orders"
+
+
+@query(f"SELECT {QUIC_FLOW_SQL}, {ORDERS_SQL}")
+def stream_quic(spark, d):
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    orders = spark.readStream.schema(schema).parquet(f"{d}/orders.parque[t]")
+    datagrams = udp_datagrams(_quic_frames(spark, d, rows=orders))
+    return stream.drain_quic(datagrams, "36500 days").select("frame", "src", "sport", "role", "features")
+
+
+@query(f"SELECT DISTINCT {FLOW_SQL}, 'tls|server|v=771|c=' || (trunc(value)::INT % 3 + 1) || '|e=|sv=' AS features FROM events")
+def stream_watermark(spark, d):
+    """Repeats within the watermark are dropped with bounded state; which of equal rows stays isn't said."""
+    rows = tcp_segments(_stream_frames(spark, d, _hello())).select("capture", "frame", "ts", *flows.FLOW, F.explode(messages.tcp_messages("body")).alias("f")).select("*", "f.*")
+    return stream.drain(stream.first_seen_stream(rows, late="3650 days")).select(*flows.FLOW, "features")
+
+
+@query(f"WITH {PEOPLE_CTE}, {pairs_sql()}, {LIGHT_SQL} SELECT protocol, '{{\"compared_records\":' || compared_records || ',\"protocol\":\"' || protocol || '\",\"similar_pairs\":' || coalesce(similar_pairs, 0) || ',\"threshold\":12,\"top_ips\":[' || coalesce(listed, '') || ']}}' AS json FROM counted LEFT JOIN similar_ USING (protocol) LEFT JOIN (SELECT protocol, string_agg('{{\"count\":' || n || ',\"ip\":\"' || ip || '\"}}', ',' ORDER BY place) AS listed FROM best GROUP BY protocol) USING (protocol)")
+def light_json(spark, d):
+    return render.light_json(similarity.light_summary(people(spark, d)))
