@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +82,9 @@ class Packer:
     def pack(self, keep: int = 0) -> Iterator[list[tuple[Example, int, int]]]:
         """Packs what waits until at most keep tokens (and less than a sequence) do."""
         pool = self.pool
+        if self.limits[2] >= self.capacity and all(e.prompt <= e.start for e in pool):
+            yield from self._pack_by_tokens(keep)
+            return
         need = np.array([[e.left, 1, e.loss(e.left)] for e in pool], float).reshape(-1, 3) / self.limits
         while self.waiting > keep:
             free, bin_, total = np.ones(3), [], 0
@@ -116,6 +120,39 @@ class Packer:
         self.pool[:] = [e for e in pool if e.left]
 
 
+    def _pack_by_tokens(self, keep: int) -> Iterator[list[tuple[Example, int, int]]]:
+        """The same where every token bears loss: products then grow with tokens alone, so the largest example that
+        fits, the first of equal ones, is found by bisection."""
+        pool, segments = self.pool, int(self.limits[1])
+        order = sorted((e.left, -k) for k, e in enumerate(pool))
+        while self.waiting > keep:
+            bin_, room = [], self.capacity
+            while room and order and len(bin_) < segments:
+                left, k = order.pop(bisect_right(order, (room, 1)) - 1)  # none fits: position -1, the largest
+                e, n = pool[-k], min(left, room)
+                bin_.append((k, e.start, n))
+                e.start += n
+                room -= n
+                if n < left:
+                    insort(order, (left - n, k))
+            total = self.capacity - room
+            back = total - power(total)
+            total -= back
+            while back:  # tokens of the last pieces return to wait
+                k, start, n = bin_.pop()
+                e, cut = pool[-k], min(back, n)
+                if e.left:
+                    order.pop(bisect_right(order, (e.left, k)) - 1)
+                e.start -= cut
+                insort(order, (e.left, k))
+                back -= cut
+                if n > cut:
+                    bin_.append((k, start, n - cut))
+            self.waiting -= total
+            yield [(pool[-k], start, n) for k, start, n in bin_]
+        self.pool[:] = [e for e in pool if e.left]
+
+
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokenizer: str | None = None,
     capacity: int = CAPACITY, max_segments: int = SEGMENTS, max_loss: int | None = None, end_id: int = END_ID,

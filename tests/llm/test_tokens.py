@@ -92,3 +92,24 @@ def test_packing_limits():
         total = sum(n for _, _, n in s)
         loss = sum(max(0, a + n - max(a, e.prompt)) for e, a, n in s)
         assert total <= 256 and total & (total - 1) == 0 and len(s) <= 6 and loss <= 100
+
+
+def test_both_ways_of_packing_agree():
+    """Bisection over tokens places as the general search does where every token bears loss."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 90, 400).tolist() + [1] * 300
+    for segments in (3, 40):
+        made = []
+        for plain in (True, False):
+            packer = packing.Packer(128, segments)
+            if not plain:
+                packer._pack_by_tokens = None
+                packer.limits[2] = np.nextafter(128, 0)  # the general search; the limit itself stays out of reach
+            examples = [packing.Example(k, np.full(n, k, "<u4").tobytes()) for k, n in enumerate(sizes)]
+            sequences = [s for e in examples for s in packer.add(e)] + list(packer.pack())
+            made.append(sequences)
+            assert sum(n for s in sequences for _, _, n in s) == sum(sizes)
+            for s in sequences:
+                total = sum(n for _, _, n in s)
+                assert total & (total - 1) == 0 and len(s) <= segments
+        assert len(made[0]) <= len(made[1]) * 1.05 + 2
