@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wire import let, slice_at, uint_at
+from ..functions.wire import let, slice_at
 
 TCP, UDP = 6, 17
 _HEAD = 14 + 4 + 60 + 60
 
 
-def dotted(hexed: Column, at: Column) -> Column:
-    return F.concat_ws(".", *(uint_at(hexed, at + k, 1).cast("string") for k in range(4)))
+def word(hexed: Column, at: Column | int) -> Column:
+    """Eight bytes at a 0-based position as a signed long; bytes beyond the end are zeros."""
+    start = F.lit(2 * at + 1) if isinstance(at, int) else at * 2 + 1
+    return F.conv(F.rpad(F.substr(hexed, start, F.lit(16)), 16, "0"), 16, -10).cast("long")
+
+
+def bits(value: Column, shift: int, size: int) -> Column:
+    """size bits of a word, of which the lowest is bit `shift`."""
+    return F.shiftrightunsigned(value, shift).bitwiseAND((1 << size) - 1)
+
+
+def dotted(number: Column) -> Column:
+    """IPv4 text of the low 32 bits of a number."""
+    return F.concat_ws(".", *(bits(number, k, 8).cast("string") for k in (24, 16, 8, 0)))
 
 
 def colons(hexed: Column, at: Column) -> Column:
     """IPv6 text: lower case, no leading zeros, the first of the longest runs of two or more zero groups as ::."""
     groups = [F.lower(F.regexp_replace(F.substr(hexed, at * 2 + 1 + 4 * k, F.lit(4)), "^0{1,3}", "")) for k in range(8)]
     mapped = F.substr(hexed, at * 2 + 1, F.lit(24)) == "0" * 20 + "FFFF"
-    return F.when(mapped, F.concat(F.lit("::ffff:"), dotted(hexed, at + 12))).otherwise(let(F.concat_ws(":", *groups), shortened))
+    return F.when(mapped, F.concat(F.lit("::ffff:"), dotted(F.shiftrightunsigned(word(hexed, at + 12), 32)))).otherwise(let(F.concat_ws(":", *groups), shortened))
 
 
 def shortened(groups: Column) -> Column:
@@ -45,44 +57,46 @@ def decode(packets: DataFrame) -> DataFrame:
     # Every step is a projection; one generator at the end gives or drops the row. Filters in between would be pushed
     # below the steps and compute them again.
     df = packets.select(*kept, "payload", F.hex(F.substring("payload", 1, _HEAD)).alias("_hex"), F.octet_length("payload").alias("_size"))
-    df = df.withColumn("_ip", F.when((uint_at(F.col("_hex"), 12, 2) == 0x8100) & (F.col("_size") >= 18), 18).otherwise(14))
-    df = df.withColumns({"_v4": uint_at(F.col("_hex"), F.col("_ip") - 2, 2) == 0x0800, "_v6": uint_at(F.col("_hex"), F.col("_ip") - 2, 2) == 0x86DD})
-    ip, v4 = F.col("_ip"), F.col("_v4")
-    byte = lambda k, n=1: uint_at(F.col("_hex"), ip + k, n)
+    # Headers are read as words of eight bytes, whose fields are shifts and masks.
+    df = df.withColumn("_w", word(F.col("_hex"), 12))
+    tagged = (bits(F.col("_w"), 48, 16) == 0x8100) & (F.col("_size") >= 18)
+    df = df.withColumns({"_ip": F.when(tagged, 18).otherwise(14), "_type": F.when(tagged, bits(F.col("_w"), 16, 16)).otherwise(bits(F.col("_w"), 48, 16))})
+    ip, v4 = F.col("_ip"), F.col("_type") == 0x0800
+    df = df.withColumns({"_a": word(F.col("_hex"), ip), "_b": word(F.col("_hex"), ip + 8), "_c": word(F.col("_hex"), ip + 16)})
+    wa, wb, wc = F.col("_a"), F.col("_b"), F.col("_c")
     df = df.withColumns({
-        "_proto": F.when(v4, byte(9)).otherwise(byte(6)).cast("int"),
-        "_at": ip + F.when(v4, byte(0).bitwiseAND(15) * 4).otherwise(40).cast("int"),
-        "_len": F.when(v4, byte(2, 2)).otherwise(byte(4, 2) + 40).cast("int"),
+        "_proto": F.when(v4, bits(wb, 48, 8)).otherwise(bits(wa, 8, 8)).cast("int"),
+        "_at": ip + F.when(v4, bits(wa, 56, 4) * 4).otherwise(40).cast("int"),
+        "_len": F.when(v4, bits(wa, 32, 16)).otherwise(bits(wa, 16, 16) + 40).cast("int"),
     })
     tcp, at = F.col("_proto") == TCP, F.col("_at")
-    l4 = lambda k, n=1: uint_at(F.col("_hex"), at + k, n)
+    df = df.withColumns({"_t": word(F.col("_hex"), at), "_u": word(F.col("_hex"), at + 8)})
+    wt, wu = F.col("_t"), F.col("_u")
     # The transport's bytes end where the IP length says, or where the frame does.
     df = df.withColumns({
         "_n": F.least("_size", ip + F.col("_len")) - at,
-        "_off": F.when(tcp, F.shiftright(l4(12), 4).cast("int") * 4).otherwise(8),
-        "_udp": l4(4, 2).cast("int"),
+        "_off": F.when(tcp, bits(wu, 28, 4).cast("int") * 4).otherwise(8),
+        "_udp": bits(wt, 16, 16).cast("int"),
     })
     n, off = F.col("_n"), F.col("_off")
     header = F.when(tcp, 20).otherwise(8)
-    framed = (F.col("_size") >= 14) & (v4 | F.col("_v6")) & F.col("_proto").isin(TCP, UDP) & (F.col("_size") >= F.greatest(at + header, ip + F.when(v4, 20).otherwise(40)))
+    framed = (F.col("_size") >= 14) & F.col("_type").isin(0x0800, 0x86DD) & F.col("_proto").isin(TCP, UDP) & (F.col("_size") >= F.greatest(at + header, ip + F.when(v4, 20).otherwise(40)))
     whole = F.when(tcp, (off >= 20) & (n >= off)).otherwise((F.col("_udp") >= 8) & (F.least("_udp", n) > 8))
     df = df.withColumn("_ok", F.coalesce(framed & (n >= header) & whole, F.lit(False)))
-    source, target = F.when(v4, ip + 12).otherwise(ip + 8), F.when(v4, ip + 16).otherwise(ip + 24)
-    address = lambda where: F.when(v4, dotted(F.col("_hex"), where)).otherwise(colons(F.col("_hex"), where))
     row = F.struct(
         F.col("_proto").alias("transport"),
-        address(source).alias("src"),
-        address(target).alias("dst"),
-        l4(0, 2).cast("int").alias("sport"),
-        l4(2, 2).cast("int").alias("dport"),
+        F.when(v4, dotted(wb)).otherwise(colons(F.col("_hex"), ip + 8)).alias("src"),
+        F.when(v4, dotted(F.shiftrightunsigned(wc, 32))).otherwise(colons(F.col("_hex"), ip + 24)).alias("dst"),
+        bits(wt, 48, 16).cast("int").alias("sport"),
+        bits(wt, 32, 16).cast("int").alias("dport"),
         slice_at(p, at + off, F.when(tcp, n).otherwise(F.least("_udp", n)) - off).alias("body"),
-        F.when(tcp, l4(13)).cast("int").alias("flags"),
-        F.when(tcp, l4(14, 2)).cast("int").alias("window"),
-        F.when(v4, byte(8)).otherwise(byte(7)).cast("int").alias("ttl"),
+        F.when(tcp, bits(wu, 16, 8)).cast("int").alias("flags"),
+        F.when(tcp, bits(wu, 0, 16)).cast("int").alias("window"),
+        F.when(v4, bits(wb, 56, 8)).otherwise(bits(wa, 0, 8)).cast("int").alias("ttl"),
         F.when(v4, 4).otherwise(6).alias("ip_version"),
         F.col("_len").alias("ip_len"),
-        (v4 & (byte(6, 2).bitwiseAND(0x4000) != 0)).alias("ip_df"),
-        F.when(v4, byte(4, 2)).otherwise(0).cast("int").alias("ip_id"),
+        (v4 & (wa.bitwiseAND(0x4000) != 0)).alias("ip_df"),
+        F.when(v4, bits(wa, 16, 16)).otherwise(0).cast("int").alias("ip_id"),
         F.when(tcp, slice_at(p, at + 20, off - 20)).alias("tcp_options"),
     )
     return df.select(*kept, F.inline(F.when(F.col("_ok"), F.array(row))))

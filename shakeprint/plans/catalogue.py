@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that may be one small file, dealt over all cores before frames are made from it."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def query(oracle: str | None = None, name: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
@@ -163,7 +168,7 @@ def _sport() -> Column:
 
 
 def line_frames(spark: SparkSession, d: str, payload: Column) -> DataFrame:
-    return table(spark, d, "lineitem").select(line_key(), payload.alias("payload"))
+    return spread(spark, d, "lineitem").select(line_key(), payload.alias("payload"))
 
 
 def _syn(options: Column, body: Column | None = None, flags: Column | int = 2, df: Column | int = 1, ident: Column | int = 0) -> Column:
@@ -309,7 +314,7 @@ def _group() -> Column:
 def order_found(spark: SparkSession, d: str, payload: Column, parse, transport: str = "tcp") -> DataFrame:
     """frame, protocol, role, features of payloads that travel in whole frames."""
     make = s.tcp4 if transport == "tcp" else s.udp4
-    frames = table(spark, d, "orders").select(order_key(), make(payload, c("o_orderkey"), c("o_custkey"), c("o_orderkey") % 60000 + 1024, 443 if transport == "tcp" else 4433).alias("payload"))
+    frames = spread(spark, d, "orders").select(order_key(), make(payload, c("o_orderkey"), c("o_custkey"), c("o_orderkey") % 60000 + 1024, 443 if transport == "tcp" else 4433).alias("payload"))
     rows = tcp_segments(frames) if transport == "tcp" else udp_datagrams(frames)
     return rows.select("frame", F.explode(parse("body")).alias("f")).select("frame", "f.*")
 
@@ -481,7 +486,7 @@ def _san() -> Column:
 def certificate_found(spark: SparkSession, d: str, certificates: list[Column], extra: Column | None = None) -> DataFrame:
     listed = F.concat(*(F.concat(prefixed(x, 3), *([extra] if extra is not None else [])) for x in certificates))
     body = prefixed(listed, 3) if extra is None else F.concat(raw("00"), prefixed(listed, 3))
-    frames = table(spark, d, "customer").select(c("c_custkey").alias("frame"), s.tcp4(s.record(s.handshake(11, body)), c("c_custkey"), c("c_nationkey"), F.lit(443), 50000).alias("payload"))
+    frames = spread(spark, d, "customer").select(c("c_custkey").alias("frame"), s.tcp4(s.record(s.handshake(11, body)), c("c_custkey"), c("c_nationkey"), F.lit(443), 50000).alias("payload"))
     rows = tcp_segments(frames).select("frame", F.explode(messages.tcp_messages("body")).alias("f"))
     return rows.select("frame", "f.protocol", "f.role", "f.features")
 

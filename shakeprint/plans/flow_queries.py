@@ -18,7 +18,7 @@ from ..sources import capture as captures
 from ..sources import records as record_source
 from ..streaming import stream
 from . import extract as plan
-from .catalogue import FEATURES_SQL, c, people_features, query, simhash_sql, ssh_lists, table
+from .catalogue import FEATURES_SQL, c, people_features, query, simhash_sql, spread, ssh_lists, table
 
 ADDRESS = s.address4_text
 
@@ -26,7 +26,7 @@ ADDRESS = s.address4_text
 def event_frames(spark: SparkSession, d: str, payload, make=s.tcp4, port: int = 22) -> DataFrame:
     """capture, frame, payload: a flow per user, whose events are its packets in order of their id."""
     framed = make(payload, c("user_id"), F.lit(1), c("user_id") % 60000 + 1024, port)
-    return table(spark, d, "events").select(F.lit("events").alias("capture"), (c("event_id") + 1).cast("int").alias("frame"), "ts", framed.alias("payload"))
+    return spread(spark, d, "events").select(F.lit("events").alias("capture"), (c("event_id") + 1).cast("int").alias("frame"), "ts", framed.alias("payload"))
 
 
 FLOW_SQL = f"{ADDRESS('user_id')} AS src, (user_id % 60000 + 1024)::INT AS sport, '10.0.0.1' AS dst, 22::INT AS dport"
@@ -89,14 +89,14 @@ def ssh_banner_only(spark, d):
 def _quic_frames(spark: SparkSession, d: str, broken: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """Client Initials of orders, each with a hello in one CRYPTO frame; broken: sealed with the keys of another id."""
     hello = s.handshake(1, s.hello_client(771, s.u16s(c("o_orderkey") % 200 + 4865), s.extension(16, prefixed(prefixed(text(F.lit("h3")), 1), 2))))
-    rows = table(spark, d, "orders") if rows is None else rows
+    rows = spread(spark, d, "orders") if rows is None else rows
     frames = rows.select("o_orderkey", "o_orderdate", hello.alias("hello"))
     frames = frames.withColumn("frames", F.concat(raw("0600"), s.varint2(F.octet_length("hello")), F.col("hello"), F.unhex(F.repeat(F.lit("00"), 40))))
     dcid = F.concat(raw("AABBCC"), F.unhex(F.lpad(F.hex(c("o_orderkey")), 10, "0")))
     frames = frames.withColumns({"dcid": dcid, "number": u16(c("o_orderkey") % 65536)})
     frames = frames.withColumn("header", s.quic_header(1, F.col("dcid"), raw("0102"), raw(""), F.octet_length("frames") + 18, 2))
     keys = F.concat(F.col("dcid"), raw("00")) if broken else F.col("dcid")
-    frames = frames.withColumn("body", quic.seal_packet(F.col("header"), F.col("number"), 2, F.col("frames"), F.lit(1), keys, "client in"))
+    frames = frames.withColumn("body", quic.seal_packet(F.col("header"), F.col("number"), 2, F.col("frames"), F.lit(1), keys, 0))
     return frames.select(F.lit("orders").alias("capture"), (c("o_orderkey") + 1).cast("int").alias("frame"), F.col("o_orderdate").cast("timestamp").alias("ts"), s.udp4(F.col("body"), c("o_orderkey"), F.lit(2), c("o_orderkey") % 60000 + 1024, 443).alias("payload"))
 
 
@@ -133,7 +133,7 @@ def quic_header(spark, d):
 
 def mixed_packets(spark: SparkSession, d: str) -> DataFrame:
     """Traffic of several protocols in one capture: TLS from orders, SYNs from suppliers, SSH and RDP from parts."""
-    tls = table(spark, d, "orders").select(c("o_orderkey").alias("n"), s.tcp4(s.record(s.handshake(2, s.hello_server(771, c("o_custkey") % 50 + 1, None))), c("o_custkey"), F.lit(9), c("o_custkey") % 60000 + 1024, 443).alias("payload"))
+    tls = spread(spark, d, "orders").select(c("o_orderkey").alias("n"), s.tcp4(s.record(s.handshake(2, s.hello_server(771, c("o_custkey") % 50 + 1, None))), c("o_custkey"), F.lit(9), c("o_custkey") % 60000 + 1024, 443).alias("payload"))
     syn = table(spark, d, "supplier").select((c("s_suppkey") + 10_000_000).alias("n"), s.ethernet(s.ipv4(s.tcp(raw(""), 1000, 443, 2, 64240, raw("020405B4")), 6, s.address4(c("s_suppkey")), s.address4(F.lit(9)))).alias("payload"))
     rdp = table(spark, d, "part").select((c("p_partkey") + 20_000_000).alias("n"), s.tcp4(s.tpkt(0xE0, 0, 0, s.negotiation(1, 0, c("p_size"))), c("p_partkey"), F.lit(9), 1001, 3389).alias("payload"))
     ssh = table(spark, d, "supplier").select((c("s_suppkey") + 30_000_000).alias("n"), s.tcp4(s.ssh_banner(F.col("s_name")), c("s_suppkey"), F.lit(9), 1002, 22).alias("payload"))
