@@ -16,6 +16,10 @@ from .html_blocks import Block, Element, leaf_blocks
 from .html_pages import labelled_pages
 
 BATCH_CHARS = 1_000_000
+TELLING = {"article", "main", "nav", "header", "footer", "aside", "form", "section"}
+#: Names of elements that commonly hold an article.
+HOLDERS = {"article", "content", "post", "entry", "story", "main"}
+PLAIN = {"p", "b", "em", "a", "code", "div", "ul", "li"}
 
 
 @lru_cache(maxsize=20_000)
@@ -27,8 +31,14 @@ def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
         out.add(e.tag)
         out.update(f"{'.' if len(e.names) else ''}{n}" for n in e.names)
     tags = [e.tag for e in path]
-    telling = [t for t in tags if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section")]
+    telling = [t for t in tags if t in TELLING]
     out.add("in " + (telling[-1] if telling else "none"))
+    # What stands between the main element, if there is one, and the block; and the nearest element that tells.
+    main = next((k for k, e in enumerate(path) if e.tag in ("article", "main") or not HOLDERS.isdisjoint(e.names)), -1)
+    out.update(f"below {x}" for e in path[main + 1 :] for x in (e.tag, *e.names) if e.tag not in PLAIN or e.names)
+    out.update(f"above {x}" for e in path[: max(main, 0)] for x in e.names)
+    near = next((e for e in reversed(path) if e.names or e.tag in TELLING), None)
+    out.update(f"near {x}" for x in ((near.tag, *near.names) if near else ("none",)))
     return tuple(sorted(out))
 
 
@@ -62,7 +72,7 @@ def fit(pages: list[tuple[list[Block], list[int]]]) -> Model:
     label = np.array([y for _, labels in pages for y in labels], np.int64)
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *(len(b) for b, _ in pages[:-1])])] = True
-    return train(*numbered([features(b) for b in flat]), np.arange(len(flat)), label, first, rounds=200, rate=0.2, decay=1e-5, least=0.005)
+    return train(*numbered([features(b) for b in flat]), np.arange(len(flat)), label, first, rounds=400, rate=0.2, decay=1e-5, least=0.005)
 
 
 def main_text(html: str | None, model: Model | None = None) -> str:

@@ -6,20 +6,20 @@ import random
 
 from .html_blocks import Block, leaf_blocks
 
-PAGES, SEED = 1_500, 20240229
+PAGES, SEED = 2_000, 20240229
 #: The attribute that marks main text in generated pages; it is removed from the blocks that are learned from.
 MARK = "data-main-text"
 
 SYLLABLES = "an be co da el fi go ha in ju ka lo mi no or pa qu re sa ti ul va we xi yo zé ße ñu".split()
 #: Names that layouts of the web give to their parts.
 MAIN = ["article", "content", "post", "entry", "post-content", "article-body", "story", "main", "text", "page-content", "entry-content", "blog-post"]
-SIDE = ["sidebar", "side", "widget", "related", "right-col", "recommended", "popular", "tags", "share", "social", "author-bio", "newsletter", "subscribe"]
+SIDE = ["sidebar", "sidebar", "side", "widget", "related-posts", "share-buttons", "related", "right-col", "recommended", "popular", "tags", "share", "social", "author-bio", "newsletter", "subscribe"]
 ADS = ["ad", "ads", "advert", "banner", "sponsored", "promo", "ad-slot", "advertisement"]
 NOTICE = ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "modal", "cookie-banner"]
-TALK = ["comments", "comment", "comment-list", "replies", "discussion", "respond", "disqus"]
+TALK = ["comments", "comment", "comment-list", "commentlist", "comment-thread", "replies", "discussion", "respond", "disqus"]
 MENU = ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "top-menu", "toc", "pagination", "skip"]
 HEAD = ["header", "masthead", "site-header", "top", "logo", "branding"]
-FOOT = ["footer", "site-footer", "bottom", "copyright", "legal", "colophon"]
+FOOT = ["footer", "footer", "site-footer", "page-footer", "bottom", "copyright", "legal", "colophon"]
 
 
 class Writer:
@@ -39,7 +39,7 @@ class Writer:
     def prose(self, low: int = 0, high: int = 6) -> str:
         """Text of any kind that a part that isn't main may hold."""
         r = self.rng
-        kinds = [f"<p>{self.sentences(1, high)}</p>", f"<ul>{self.links()}</ul>", self.sentences(1, 3), f"<h3>{self.words(1, 6)}</h3>", f'<a href="#">{self.words(1, 4)}</a>', f"<div>{self.words(1, 12)}</div>"]
+        kinds = [*(f"<p>{self.sentences(1, high)}</p>" for _ in range(4)), f"<ul>{self.links()}</ul>", self.sentences(1, 3), f"<h3>{self.words(1, 6)}</h3>", f'<a href="#">{self.words(1, 4)}</a>', f"<div>{self.words(1, 12)}</div>"]
         return "".join(r.choice(kinds) for _ in range(r.randint(1, 3)))
 
     def part(self, tags: list[str], names: list[str], inner: str) -> str:
@@ -58,20 +58,22 @@ class Writer:
 
     def comment_section(self) -> str:
         each = "".join(self.part(["div", "li", "article"], ["comment", "reply", "comment-body"], f"<p>{self.sentences(1, 6)}</p>") for _ in range(self.rng.randint(1, 4)))
-        return self.part(["section", "div", "aside"], TALK, f"<h2>{self.words(1, 3)}</h2>{each}")
+        return self.part(["section", "div", "ol"], TALK, f"<h2>{self.words(1, 3)}</h2>{each}")
 
     def form(self) -> str:
         return f"<form{self.rng.choice(['', ' class=search', ' id=signup'])}><label>{self.words(1, 4)}</label><p>{self.sentences(1, 2)}</p><button>{self.words(1, 2)}</button></form>"
 
     def outside(self) -> str:
         r = self.rng
-        kind = r.randrange(8)
+        kind = r.randrange(9)
+        if kind == 8:
+            return self.part(["footer", "div", "div"], FOOT, self.prose())
         if kind < 2:
             return self.menu()
         if kind == 2:
             return self.advert()
         if kind == 3:
-            return self.part(["aside", "aside", "div"], SIDE, self.prose())
+            return self.part(["aside", "div", "div"], SIDE, self.prose())
         if kind == 4:
             return self.part(["div", "section", "aside"], NOTICE, self.prose())
         if kind == 5:
@@ -106,11 +108,11 @@ class Writer:
         blocks = [f"<h1 {MARK}>{self.words(1, 12)}</h1>"] * (r.random() < 0.85)
         for _ in range(r.randint(0, 12)):
             blocks.append(self.main_block())
-            if r.random() < 0.08:
-                blocks.append(r.choice([self.advert, self.form, self.menu, self.comment_section, lambda: self.part(["aside", "div"], SIDE, self.prose())])())
+            if r.random() < 0.15:
+                blocks.append(self.outside())
         inner = "\n".join(blocks) if r.random() < 0.5 else "".join(blocks)
-        kind = r.randrange(10)
-        if kind > 7:  # nothing but the text itself tells
+        kind = r.randrange(12)
+        if kind > 9:  # nothing but the text itself tells
             return r.choice([inner, f"<div>{inner}</div>", f'<div class="{self.words(1, 1)}">{inner}</div>'])
         if kind < 4:
             return f"<article{r.choice(['', '', f' class={r.choice(MAIN)}'])}>{inner}</article>"
@@ -119,7 +121,7 @@ class Writer:
         if kind == 5:
             return f"<main><article>{inner}</article></main>"
         name = r.choice(MAIN)
-        return f'<div class="{name}">{inner}</div>' if kind == 6 else f'<section id="{name}">{inner}</section>'
+        return f'<section id="{name}">{inner}</section>' if kind == 6 else f'<div {r.choice(["class", "id"])}="{name}">{inner}</div>'
 
     def page(self) -> str:
         r = self.rng
