@@ -22,3 +22,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_freed(df: DataFrame) -> DataFrame:
+    """materialise(df), and the shuffle files that it took are removed as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialise(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

@@ -2,7 +2,8 @@
 
 Rows of n-grams travel packed: one row holds the sorted 64-bit hashes of all n-grams that a chunk of documents has in
 one hash range, once each. A range's rows meet in one task, which counts them (the count table of that range), joins
-each chunk's n-grams to the counts, and sends those back to the chunk; there they are joined to the exploded n-grams of
+each chunk's n-grams to the counts, and writes those to the shared folder, so that the n-grams' shuffle files can go
+before anything is sent back to the chunk; there they are joined to the exploded n-grams of
 each document by position, and summed. A frequent n-gram is one entry a chunk, so no range is hot.
 """
 
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import materialise_freed
 from .common import default_salts
 
-#: An order of 3 works as well, and shuffles about twice as much.
-ORDER, BACKOFF, CUTOFF = 2, 0.4, 2
+ORDER, BACKOFF, CUTOFF = 3, 0.4, 2
 #: Tokens that one chunk of documents has at least, unless its partition ends; what a worker holds is bounded by it
 #: and by the longest document.
 CHUNK_TOKENS = 600_000
@@ -76,6 +77,14 @@ def unplanes(raw: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unzipped(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def deltas(x: np.ndarray) -> bytes:
     return planes(np.diff(x, prepend=np.uint64(0)))
 
@@ -147,7 +156,7 @@ def score(
         unique, inverse = np.unique(flat, return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(own)).astype("<u8")[inverse]
         ends = np.cumsum([len(x) for x in asked]).tolist()
-        answer = [planes(totals[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        answer = [zipped(planes(totals[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return pa.table({"chunk": table.column("chunk"), "n": table.column("n"), "range": table.column("range"), "a": pa.array(answer, pa.binary()), "b": pa.nulls(len(answer), pa.binary()), "ids": pa.nulls(len(answer), table.schema.field("ids").type)})
 
     def keep(batches):
@@ -156,7 +165,7 @@ def score(
             unique, inverse = np.unique(word, return_inverse=True)
             listed = pa.concat_arrays(ids).to_pylist()
             head = np.array([len(unique), len(sizes)], "<u8").tobytes()
-            yield as_batch([(number, 0, 0, head + deltas(unique) + planes(sizes.astype("<u8")), planes(inverse.astype("<u4")), listed)], ids[0].type)
+            yield as_batch([(number, 0, 0, head + deltas(unique) + planes(sizes.astype("<u8")), zipped(planes(inverse.astype("<u4"))), listed)], ids[0].type)
 
     total = source.mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     out_type = T.StructType([id_field, T.StructField("n_tokens", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("backed_off", T.LongType())])
@@ -167,8 +176,8 @@ def score(
         (_, _, head, inverse, ids), answers = rows[0], rows[1:]
         n_unique, n_docs = np.frombuffer(head[:16], "<u8").tolist()
         unique, sizes = undeltas(head[16 : 16 + 8 * n_unique]), unplanes(head[16 + 8 * n_unique :], "<u8").astype(np.int64)
-        word = unique[unplanes(inverse, "<u4")] if len(inverse) else np.zeros(0, np.uint64)
-        counts = {n: [unplanes(a, "<u8") for k, _, a, _, _ in answers if k == n] for n in range(1, order + 1)}
+        word = unique[unplanes(unzipped(inverse), "<u4")] if n_unique else np.zeros(0, np.uint64)
+        counts = {n: [unplanes(unzipped(a), "<u8") for k, _, a, _, _ in answers if k == n] for n in range(1, order + 1)}
         hashes, ends = gram_hashes(word, sizes, order)
         logs = np.zeros(len(word))
         backed = np.zeros(len(word), np.int64)
@@ -195,7 +204,7 @@ def score(
         mean = pa.array(np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0), mask=sizes == 0)
         return pa.table([pa.array(ids, table.schema.field("ids").type.value_type), pa.array(sizes), pa.array(sums), mean, pa.array(rarer)], names=out_type.names)
 
-    counted = source.mapInArrow(ask, parts).groupBy("n", "range").applyInArrow(count, parts)
+    counted = materialise_freed(source.mapInArrow(ask, parts).groupBy("n", "range").applyInArrow(count, parts))
     return source.mapInArrow(keep, parts).unionByName(counted).groupBy("chunk").applyInArrow(answer, out_type)
 
 

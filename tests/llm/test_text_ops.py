@@ -1,10 +1,13 @@
 import math
+import re
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from shakeprint.llm import crf, jpeg, language_id, licenses, lm_score, toxicity
+from shakeprint.functions import lineage
+from shakeprint.llm import crf, jpeg, language_id, licenses, lm_score, queries, toxicity
 from shakeprint.llm.license_texts import TEXTS
 
 
@@ -29,6 +32,30 @@ def test_lm_against_brute_force(spark, odd_docs, no_docs):
     assert lm_score.score(no_docs).count() == 0
 
 
+def test_lm_query_scores_trigrams(spark, tmp_path):
+    """The query's order of 3: the last word is seen after one word, but never after these two."""
+    texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_lm_score(spark, str(tmp_path)).collect()}
+    assert math.isclose(got[0].log_score, math.log(3 / 15) + math.log(3 / 3) + math.log(2 / 3)) and got[0].backed_off == 0
+    assert math.isclose(got[4].log_score, math.log(3 / 15) + math.log(3 / 3) + math.log(0.4 * 3 / 5)) and got[4].backed_off == 1
+
+
+def test_freed_shuffle_leaves_no_files(spark):
+    """What is materialised can be read, and its shuffle's files are gone."""
+    kept = lineage.materialise_freed(spark.range(2000).repartition(3, "id"))
+    assert kept.count() == 2000
+    left = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",")
+    before = set(re.findall(r"shuffle_\d+", left))
+    lineage.materialise_freed(spark.range(2000).repartition(3, "id"))
+    for _ in range(50):
+        left = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        if set(re.findall(r"shuffle_\d+", left)) <= before:
+            break
+        time.sleep(0.1)
+    assert set(re.findall(r"shuffle_\d+", left)) <= before
+
+
 def test_licenses(spark, odd_docs, no_docs):
     mit = next(t for n, t in TEXTS if n == "MIT")
     rows = [(1, mit.upper().replace(" ", "\n ")), (2, "Copyright (c) 2020 Me\nAll rights reserved.\n" + mit.replace("sublicense", "sub-licence")), (3, mit + " more"), (4, "x\nReleased under the MIT Licence!\nLicensed under CC BY-NC 4.0"), (5, None), (5, "")]
