@@ -26,7 +26,8 @@ WALLS = {"td", "th", "table", "html", "body"}
 
 TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:--!?>|\Z))
-    |<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)
+    |<(?:svg|math)(?=[\s/>])(?:[^>"'=/]|/(?!>)|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)?|"[^"]*+"|'[^']*+')*+/>
+    |<(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)
     |<[!?/][^>]*+(?:>|\Z)""",

@@ -13,6 +13,14 @@ def test_blocks():
     assert leaf_blocks("") == [] and leaf_blocks("<p") == [] and leaf_blocks("<div hidden>x</div>")[0].shown is False
 
 
+def test_raw_names_end_and_empty_svg():
+    texts = lambda html: [b.text for b in leaf_blocks(html)]
+    for tag in ("<video-js id=1></video-js>", "<svg-icon>", "<audio-player src='a'/>", "<svg/>", '<svg class="a" viewBox="0 0 / >"/>', "<math />", "<title-bar></title-bar>"):
+        assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"], tag
+    for tag in ("<svg><path/>no</svg>", "<svg a=b/>no</svg>", "<video src=x>no</video>", "<script>no</script>", "<svg\n>no</svg >"):
+        assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"], tag
+
+
 def test_field_on_held_out_pages():
     model = html_extract.trained()
     wrong = total = 0
