@@ -42,23 +42,26 @@ class Element:
     tag: str
     #: Lower-case words of class, id, role and aria-label, and names of data attributes.
     names: tuple[str, ...] = ()
+    #: Has the attribute hidden, or the style display:none; a class that says so is one of the names only.
+    unseen: bool = False
 
     @property
     def hidden(self) -> bool:
-        return self.tag == "head" or "hidden" in self.names
+        return self.tag == "head" or self.unseen
 
     def without(self, name: str) -> Element:
-        return element(self.tag, tuple(n for n in self.names if n != name))
+        return element(self.tag, tuple(n for n in self.names if n != name), self.unseen)
 
 
 @lru_cache(maxsize=10_000)
-def element(tag: str, names: tuple[str, ...]) -> Element:
-    return Element(tag, names)
+def element(tag: str, names: tuple[str, ...], unseen: bool = False) -> Element:
+    return Element(tag, names, unseen)
 
 
 @lru_cache(maxsize=10_000)
 def start_tag(tag: str, attrs: str) -> Element:
     names: list[str] = []
+    unseen = False
     for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), unescape((m[2] or "").strip("\"'")).lower()
         if key in ("class", "id", "role", "aria-label", "itemprop"):
@@ -67,8 +70,8 @@ def start_tag(tag: str, attrs: str) -> Element:
         elif key.startswith("data-"):
             names.append(key)
         elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
-            names.append("hidden")
-    return element(tag, tuple(dict.fromkeys(names)))
+            unseen = True
+    return element(tag, tuple(dict.fromkeys(names)), unseen)
 
 
 @dataclass

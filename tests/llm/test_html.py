@@ -21,6 +21,16 @@ def test_raw_names_end_and_empty_svg():
         assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"], tag
 
 
+def test_only_attributes_hide():
+    shown = lambda attrs: leaf_blocks(f"<div {attrs}><p>x</p></div>")[0].shown
+    for attrs in ('class="overflow-hidden"', 'class="hidden-print a"', 'class="lg-hidden"', 'class="hidden"', 'id="hidden"', 'aria-label="not hidden"'):
+        assert shown(attrs), attrs
+    for attrs in ("hidden", 'hidden=""', 'style="color:red; display: none"', 'class="a" hidden'):
+        assert not shown(attrs), attrs
+    page = PAGE.replace("<article>", '<article class="overflow-hidden">')
+    assert html_extract.main_text(page) == html_extract.main_text(PAGE) != ""
+
+
 def test_field_on_held_out_pages():
     model = html_extract.trained()
     wrong = total = 0
