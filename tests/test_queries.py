@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from shakeprint import synth
 from shakeprint.functions.features import checked_simhash, fingerprint_columns
-from shakeprint.operators import flows, render, similarity
+from shakeprint.functions.wire import prefixed, raw, u16
+from shakeprint.operators import active, dissector, flows, render, similarity
 from shakeprint.operators.components import components
 from shakeprint.plans import catalogue
 from shakeprint.sources import records
@@ -35,6 +37,27 @@ def test_query(spark, sf_dir, duck, name):
     assert len(a) == len(b) and (a == b).all().all()
 
 
+def test_dtls_cookie_of_every_part(spark, sf_dir):
+    """The rows that active_dtls_cookie and its SQL leave out, too: cookies of fewer digits, and keys that wrap."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").union(spark.range(9000, 20001, 97).toDF("p_partkey"))
+    key = F.col("p_partkey") * 7 % 65536
+    body = F.concat(raw("FEFF"), prefixed(u16(key), 1))
+    rows = parts.select(key.alias("key"), synth.dtls_record(3, body, 0xFEFF).alias("response"))
+    got = rows.select("key", F.lower(F.hex(active.dtls_cookie("response"))).alias("cookie")).collect()
+    assert len(got) == parts.count() > 200 and all(r.cookie == f"{r.key:04x}" for r in got) and any(r.key < 4096 for r in got)
+
+
+def test_dissector_with_reserved_ciphers_only(spark):
+    """The rows that dissector_tls and its SQL leave out: nothing is left of the cipher list."""
+    held = {"tls_hs_type": [1], "tls_version": [771], "tls_cipher": [2570], "tls_ext_type": [6682, 10], "tls_groups": [2570, 29], "tls_points": [0], "tls_sv": [772], "tls_sig": [1027]}
+    row = ["o", 1, "1", *(held.get(n) for n in dissector.INT_FIELDS), *(["h2"] if n == "tls_alpn" else None for n in dissector.TEXT_FIELDS)]
+    kinds = ["capture string, frame long, stream string", *(f"{n} array<bigint>" for n in dissector.INT_FIELDS), *(f"{n} array<string>" for n in dissector.TEXT_FIELDS)]
+    for cipher in (2570, 6682, 64250):
+        row[3 + dissector.INT_FIELDS.index("tls_cipher")] = [cipher]
+        got = dissector.dissect(spark.createDataFrame([tuple(row)], ", ".join(kinds))).collect()
+        assert [r.features for r in got] == ["tls|client|v=771|c=|e=10|g=2570-29|p=0|sv=772|alpn=h2|sig=1027"]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
