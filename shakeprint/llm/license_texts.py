@@ -1,5 +1,7 @@
 """Public license texts (fixed values) and the one-line notices that name licenses."""
 
+from pathlib import Path
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -54,3 +56,46 @@ NOTICES = [
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
+
+#: Names of licenses in notices, and what lines call them.
+_NAMES = {
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "MIT": ["MIT License"], "ISC": ["ISC License"], "Zlib": ["zlib License"], "Unlicense": ["Unlicense"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    **{f"CC-{k}-{v}": [f"CC {k} {v}", f"Creative Commons {words} {v} International License" if v == "4.0" else f"Creative Commons {words} {v} Unported License"]
+       for k, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("3.0", "4.0")},
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+}
+_SAID = ["{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}", "Published under the {}", *(f"This {x} is {y} under {the}{{}}" for x in ("work", "project", "software", "program", "library", "file", "code") for y in ("licensed", "released", "distributed") for the in ("", "the ", "a "))]
+#: SPDX identifiers that stand for themselves; those of _GNU in two forms more, of which `-only` has the plain name.
+_SPDX = "0BSD AFL-3.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 HPND ISC LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1".split()
+_GNU = "AGPL-1.0 AGPL-3.0 GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0".split()
+
+
+def more_notices() -> list[tuple[str, str]]:
+    """Notices that the query knows besides NOTICES, which the SQL has alone."""
+    spdx = [*((k, k) for k in (*_SPDX, *_GNU)), *((k, f"{k}-only") for k in _GNU), *((f"{k}-or-later",) * 2 for k in _GNU)]
+    return [(k, f"SPDX-License-Identifier: {x}") for k, x in spdx] + [(k, said.format(name)) for k, names in _NAMES.items() for name in names for said in _SAID]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Long texts that the query knows besides TEXTS, which the SQL has alone: the files as they are published, and
+    without what tells how to apply them. Read on the driver only."""
+    out = []
+    for path in sorted((Path(__file__).parent / "full_texts").glob("*.txt")):
+        text, end = path.read_text("utf-8"), "END OF TERMS AND CONDITIONS"
+        out.append((path.stem, text))
+        if end in text:
+            terms = text.split(end)[0]
+            out += [(path.stem, terms), (path.stem, terms + end)]
+        if "ADDENDUM: How to use" in text:
+            out.append((path.stem, text.split("ADDENDUM: How to use")[0]))
+    return out

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, TEXTS
+from .license_texts import NOTICES, TEXTS, full_texts, more_notices
 
 Texts = list[tuple[str, str]]
 #: Known digests are broadcast, or looked up in a literal map, up to so many; beyond that they are joined by shuffle.
@@ -52,7 +52,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: T
     Nothing of the documents is shuffled while the known digests number at most SMALL. Other columns are not read.
     """
     spark = df.sparkSession
-    texts, notices = TEXTS if texts is None else texts, NOTICES if notices is None else notices
+    texts, notices = [*TEXTS, *full_texts()] if texts is None else texts, [*NOTICES, *more_notices()] if notices is None else notices
     known = known_digests(spark, texts)
     if len(texts) <= SMALL:
         known = F.broadcast(known)
@@ -71,7 +71,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: T
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL, with the known texts as they stand."""
+    """The same in DuckDB's SQL, with TEXTS and NOTICES alone."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shakeprint.functions import lineage
 from shakeprint.llm import crf, jpeg, language_id, licenses, lm_score, queries, toxicity
-from shakeprint.llm.license_texts import TEXTS
+from shakeprint.llm.license_texts import TEXTS, full_texts
 
 
 def test_lm_against_brute_force(spark, odd_docs, no_docs):
@@ -66,6 +66,21 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(df, texts=[], notices=[]).where("license is not null").count() == 0
 
 
+def test_full_licenses_and_identifiers(spark):
+    full = full_texts()
+    assert {k for k, _ in full} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"}
+    rows = [(k, "# " + t.upper().replace("\n", "\n# "), name, "") for k, (name, t) in enumerate(full)]
+    lines = {
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "/* SPDX-License-Identifier: AGPL-3.0-or-later */": "AGPL-3.0-or-later",
+        "GNU General Public License, version 2.": "GPL-2.0", "This project is licensed under the Eclipse Public License 2.0.": "EPL-2.0", "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "SPDX-License-Identifier: Nothing-1.0": "", "We like the GNU General Public License, version 2.": "",
+    }
+    rows += [(1000 + k, f"x\n{line}\ny", None, name) for k, (line, name) in enumerate(lines.items())]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, _, name, notices in rows:
+        assert (got[k].license, got[k].notices if k >= 1000 else "") == (name, notices)
+
+
 def test_jpeg_round_trip(spark, odd_docs, no_docs):
     rng = np.random.default_rng(0)
     payloads = [rng.bytes(64 * k) for k in (1, 2, 40, 9000)] + [bytes(64), b"\xff" * 128, bytes(range(256))]
