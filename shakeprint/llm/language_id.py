@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from .common import by_chars, held_out, rows
 from .sampling import labelled_ids, labelled_texts
 
-#: Labelled rows taken of each language, the longest one taken, the characters each may give, and those learned in all.
-SAMPLE_ROWS, SAMPLE_MAX_CHARS, ROW_CHARS, TRAIN_CHARS = 96, 20_000, 1_000, 24_000
+#: Labelled rows taken of each language, the characters read of each, and those learned of all together.
+SAMPLE_ROWS, SAMPLE_MAX_CHARS, TRAIN_CHARS = 96, 20_000, 24_000
 #: Texts are parsed in segments of so many characters, each from a fresh phrase, so that numpy steps through many at once.
 SEGMENT, BATCH_CHARS = 512, 1_000_000
 #: A passage that rows share is this many words at least.
@@ -170,17 +170,27 @@ def own_words(parts: dict[str, list[list[str]]]) -> dict[str, list[list[str]]]:
     return {lang: [w for w in texts if w] for lang, texts in out.items()}
 
 
+def shares(texts: list[str], chars: int) -> list[str]:
+    """Beginnings of all texts, with the spaces between them chars characters at most: none is longer than another one
+    that was cut."""
+    left, cut = chars - len(texts) + 1, list(texts)
+    for n, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        cut[k] = texts[k][: max(0, left // (len(texts) - n))]
+        left -= len(cut[k])
+    return cut
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, text) learned from a bounded sample: about SAMPLE_ROWS rows a language outside the held-out fold."""
+    """(language, text) learned from a bounded sample: of about SAMPLE_ROWS rows a language outside the held-out fold,
+    equal shares of TRAIN_CHARS characters, and what short rows leave of theirs goes to the longer ones."""
     ids, _ = labelled_ids(docs.select(id_col, lang_col), id_col, lang_col, SAMPLE_ROWS)
     parts: dict[str, list[list[str]]] = {}
-    for _, text, lang in labelled_texts(docs, ids, id_col, text_col, SAMPLE_MAX_CHARS, "string"):
+    for _, text, lang in labelled_texts(docs.withColumn(text_col, F.substring(text_col, 1, SAMPLE_MAX_CHARS)), ids, id_col, text_col, SAMPLE_MAX_CHARS, "string"):
         if any(map(str.isalpha, text)):
             parts.setdefault(lang, []).append(text.split())
     learned = {}
     for lang, texts in own_words(parts).items():
-        each = max(ROW_CHARS, TRAIN_CHARS // max(1, len(texts)))
-        if text := " ".join(" ".join(words)[:each] for words in texts)[:TRAIN_CHARS].strip():
+        if text := " ".join(shares([" ".join(words) for words in texts], TRAIN_CHARS)).strip():
             learned[lang] = text
     return tuple(sorted(learned.items()))
 

@@ -1,6 +1,7 @@
 import math
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -150,6 +151,19 @@ def test_language_id(spark, odd_docs, no_docs, docs_schema):
     assert {r.lang_pred for r in language_id.identify(odd_docs, ()).collect()} == {"und"}
 
 
+def test_every_sampled_row_teaches(spark, docs_schema):
+    """Rows of the highest ids, and languages whose texts are all long, are learned, too."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "".join(letters[int(d) % 20] for d in f"{k:05d}")
+    rows = [(k, " ".join(f"{word(k)}{word(j)}" for j in range(150)), "en", "s") for k in range(60)]
+    rows += [(1000 + k, " ".join(f"zu{word(k)}{word(j)}" for j in range(2500)), "xx", "s") for k in range(8)]
+    learned = dict(language_id.train(spark.createDataFrame(rows, docs_schema)))
+    assert set(learned) == {"en", "xx"} and all(20_000 < len(t) <= language_id.TRAIN_CHARS for t in learned.values())
+    used = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert all(word(k) in learned["en"] for k in used) and len(used) > 40
+    assert language_id.shares(["abcdef", "x", "abcdef"], 11) == ["abcd", "x", "abcd"]
+
+
 def test_cross_parsing_against_brute_force():
     texts = {"x": "abcabdabe", "y": "bcdbcd"}
     parser = language_id.CrossParser(texts)
