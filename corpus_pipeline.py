@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter, or that no learned language says."""
+    """Without the documents that have no letter, or whose script no learned language has; see the README for what stays."""
     found = language_id.identify(docs, language_id.train(docs), carry=True)
     return language_id.rejects(found).where("not rejected").select("row.*")
 

@@ -23,7 +23,7 @@ PASSAGE_WORDS = 5
 #: Sharpness of the score: the entropy difference, in bits a character, that makes one language e times likelier.
 BITS_PER_E = 0.25
 UNDETERMINED = "und"
-#: Above so many phrases a letter no learned language says the text (see `rejects`).
+#: Above so many phrases a symbol a text is rejected: foreign scripts, but hardly other languages of the same script.
 MAX_PHRASES = 0.7
 _LAST = 0x323B0
 
@@ -222,5 +222,5 @@ def identify(df: DataFrame, learned: tuple[tuple[str, str], ...], id_col: str =
 
 
 def rejects(identified: DataFrame) -> DataFrame:
-    """identified with `rejected`: no letter, or more phrases a symbol than text of any learned language has."""
+    """identified with `rejected`: no letter, or more than MAX_PHRASES phrases a symbol."""
     return identified.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("phrase_rate") > MAX_PHRASES))
