@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_share, held_out
@@ -22,12 +22,16 @@ def labelled_ids(labels: DataFrame, id_col: str, label_col: str, per_label: int)
     return sorted((r["id"], r["label"]) for r in rows), counts
 
 
-def labelled_texts(docs: DataFrame, ids: list[tuple], id_col: str, text_col: str, max_chars: int, label_type: str) -> list[tuple]:
-    """(id, text, label) of the sampled ids whose text has at most max_chars characters, in order of the id."""
+def labelled_texts(docs: DataFrame, ids: list[tuple], id_col: str, text_col: str, max_chars: int, label_type: str, all_chars: int | None = None) -> list[tuple]:
+    """(id, text, label) of the sampled ids whose text has at most max_chars characters, in order of the id; of each
+    label, in order of a hash of the id, until they have all_chars characters."""
     if not ids:
         return []
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     sample = F.broadcast(spark.createDataFrame(ids, f"id {kind}, label {label_type}"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars)
-    return sorted({(r["id"], r["text"], r["label"]) for r in texts.join(sample, "id").collect()})
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars).join(sample, "id")
+    if all_chars:  # of the sample alone, which is bounded in rows
+        order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit("order")), "id", "text")
+        texts = texts.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).where(F.col("before") < all_chars)
+    return sorted({(r["id"], r["text"], r["label"]) for r in texts.select("id", "text", "label").collect()})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from dataclasses import dataclass
 from itertools import chain as flat
 
@@ -17,11 +18,11 @@ from .common import by_chars, held_out, rows
 from .crf import Model, train as train_chain
 from .sampling import labelled_ids, labelled_texts
 
-#: Labelled rows taken of each label, and the longest text taken to learn from.
-SAMPLE_ROWS, SAMPLE_MAX_CHARS = 1_000, 20_000
+#: Labelled rows taken of each label, the longest text taken to learn from, and the characters taken of each label.
+SAMPLE_ROWS, SAMPLE_MAX_CHARS, SAMPLE_CHARS = 1_000, 20_000, 5_000_000
 #: A word or beginning marks toxic words if it is in so many toxic texts and such a share of them, is so much likelier
-#: there, and the log likelihood that this isn't chance is so large.
-SEED_TEXTS, SEED_SHARE, SEED_RATIO, SEED_EVIDENCE = 8, 0.015, 5.0, 20.0
+#: there, and the log likelihood that this isn't chance exceeds the log of the number of candidates by so much.
+SEED_TEXTS, SEED_SHARE, SEED_RATIO, SEED_EVIDENCE = 3, 0.015, 5.0, 5.0
 PREFIXES = range(3, 9)
 #: Texts of the sample in which a feature must occur to have a weight.
 FEATURE_TEXTS = 3
@@ -102,19 +103,37 @@ def spans(text: str, p: np.ndarray) -> str:
 
 
 def fit_scores(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> list[float]:
-    """Logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
+    """Logistic regression whose slopes aren't negative: more toxic words never lower a score. Newton's method, with
+    steps halved until the penalised likelihood grows, so that it can't swing about where the classes are separable;
+    a slope that turns negative is set to zero and left out."""
+    size = x.shape[1]
+    penalty = ridge * np.eye(size)
     penalty[0, 0] = 1e-6
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - penalty @ w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hess + 1e-9 * np.eye(len(w)), grad)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w.tolist()
+    free = np.ones(size, bool)
+    sign = 1.0 - 2.0 * y
+
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0.0, sign * (x @ w)) + 0.5 * w @ penalty @ w)
+
+    while True:
+        w = np.zeros(size)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            grad = (x.T @ (weight * (y - p)) - penalty @ w)[free]
+            hess = ((x * (weight * p * (1 - p))[:, None]).T @ x + penalty)[np.ix_(free, free)]
+            step = np.zeros(size)
+            step[free] = np.linalg.solve(hess + 1e-9 * np.eye(len(hess)), grad)
+            now, scale = loss(w), 1.0
+            while loss(w + scale * step) > now and scale > 1e-9:
+                scale /= 2
+            w = w + scale * step
+            if np.abs(scale * step).max() < 1e-6:
+                break
+        below = free & (w < 0)
+        below[0] = False
+        if not below.any():
+            return w.tolist()
+        free[np.argmin(np.where(below, w, 0.0))] = False
 
 
 def fresh(lists: list[list[str]]) -> np.ndarray:
@@ -175,15 +194,17 @@ def seeds(texts: np.ndarray, times: np.ndarray, words: np.ndarray, toxic: np.nda
     n0, n1 = int((toxic == 0).sum()) + 1, int(toxic.sum()) + 1
     ratio = times[1] / words[1] / ((times[0] + 0.5) / words[0])
     evidence = texts[1] * np.log((texts[1] + 1e-9) / n1 / ((texts[0] + 0.5) / n0))
-    return (texts[1] >= max(SEED_TEXTS, SEED_SHARE * n1)) & (ratio >= SEED_RATIO) & (evidence >= SEED_EVIDENCE)
+    enough = SEED_EVIDENCE + np.log(max(1, len(evidence)))
+    return (texts[1] >= max(SEED_TEXTS, SEED_SHARE * n1)) & (ratio >= SEED_RATIO) & (evidence >= enough)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Learns from a bounded sample: about SAMPLE_ROWS texts of each label outside the held-out fold, none above
-    SAMPLE_MAX_CHARS. A word of a toxic text is labelled toxic if it or a beginning of it is far more frequent in toxic
-    texts; all other words are labelled clean. Without labels of both kinds every score is the prior's."""
+    SAMPLE_MAX_CHARS, with SAMPLE_CHARS together. A word of a toxic text is labelled toxic if it or a beginning of it is
+    far more frequent in toxic texts; all other words are labelled clean. Without labels of both kinds every score is
+    the prior's. Warns if the labels don't tell any word, as when they are too few: nothing is predicted toxic then."""
     ids, counts = labelled_ids(labels, id_col, label_col, SAMPLE_ROWS)
-    rows = labelled_texts(docs, ids, id_col, text_col, SAMPLE_MAX_CHARS, labels.schema[label_col].dataType.simpleString())
+    rows = labelled_texts(docs, ids, id_col, text_col, SAMPLE_MAX_CHARS, labels.schema[label_col].dataType.simpleString(), SAMPLE_CHARS)
     rows = list({text: (text, int(label == 1)) for _, text, label in rows}.values())
     toxic = np.array([y for _, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
@@ -198,6 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del lists, kinds
     texts, times, total = count(table, kind, size, toxic, new)
     marked = seeds(texts, times, total, toxic)
+    if not marked.any():
+        warnings.warn(f"{int(toxic.sum())} toxic and {int((toxic == 0).sum())} clean texts don't tell any toxic word", stacklevel=2)
     ids, of = table.of(np.arange(len(table.start) - 1))
     is_marked = np.bincount(of, marked[ids], len(table.start) - 1) > 0
     label = (is_marked[kind] & (np.repeat(toxic, size) == 1)).astype(np.int64)
