@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import materialise
+from ..functions.lineage import materialise_at, remove
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round joins edges to a minimum per node and cuts its lineage into the shared folder; no edge or label reaches
     the driver. Rounds end when the edges (then a star around each smallest node) stay the same.
     """
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges, path = materialise_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while (now := _state(edges)) != before:
         before = now
@@ -27,5 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        edges = materialise(small.select("e.*").where("a <> b").distinct())
+        done = path
+        edges, path = materialise_at(small.select("e.*").where("a <> b").distinct())
+        remove(edges.sparkSession, done)
     return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

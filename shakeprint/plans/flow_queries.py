@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import synth as s
 from ..functions import sql as sql_functions
 from ..functions.features import fingerprint_columns
-from ..functions.lineage import materialise, shared_dir
+from ..functions.lineage import materialise, new_path
 from ..functions.wire import prefixed, raw, text, u16
 from ..operators import active, dissector, flows, messages, quic, render, similarity
 from ..operators.link import tcp_segments, udp_datagrams
@@ -170,7 +169,7 @@ def protocol_counts(spark, d):
 @query(f"WITH {MIXED_SQL} SELECT frame, json_extract_string(j, '$.protocol') AS protocol, json_extract_string(j, '$.features') AS features, json_extract_string(j, '$.flow.src') AS src FROM (SELECT frame, json_object('protocol', protocol, 'features', features, 'flow', json_object('src', src)) AS j FROM raw_)")
 def jsonl_sink(spark, d):
     """Written as JSON lines, and read back as records."""
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     render.write_jsonl(mixed_observations(spark, d), path)
     return record_source.read_records(spark, path, lines=True).select("frame", "protocol", "features", "flow.src")
 
@@ -343,10 +342,10 @@ def active_ike_reject(spark, d):
     return active.active(rows, force=True).select(F.col("port").cast("long").alias("port"), "features")
 
 
-@query("SELECT p_partkey, lower(to_hex(p_partkey * 7)) AS cookie FROM part WHERE p_partkey * 7 >= 4096 AND p_partkey * 7 < 65536")
+@query("SELECT p_partkey, lower(lpad(to_hex(p_partkey * 7 % 65536), 4, '0')) AS cookie FROM part")
 def active_dtls_cookie(spark, d):
     body = F.concat(raw("FEFF"), prefixed(u16(c("p_partkey") * 7 % 65536), 1))
-    rows = table(spark, d, "part").where("p_partkey * 7 >= 4096 and p_partkey * 7 < 65536").select("p_partkey", s.dtls_record(3, body, 0xFEFF).alias("response"))
+    rows = table(spark, d, "part").select("p_partkey", s.dtls_record(3, body, 0xFEFF).alias("response"))
     return rows.select("p_partkey", F.lower(F.hex(active.dtls_cookie("response"))).alias("cookie"))
 
 
@@ -359,15 +358,13 @@ def active_port_rule(spark, d):
 
 
 @query("""SELECT o_orderkey AS frame, 'tls' AS protocol, 'client' AS role, 'fan1:tls:client:' || translate(to_base64(encode(f)), '+/=', '-_') || ':sha256:' || sha256(f) AS fingerprint FROM (SELECT o_orderkey,
- 'tls|client|v=771|c=' || (o_orderkey % 65000 + 100 - CASE WHEN (o_orderkey % 65000 + 100) & 3855 = 2570 AND ((o_orderkey % 65000 + 100) // 256) = ((o_orderkey % 65000 + 100) & 255) THEN 0 ELSE 0 END) || '|e=10|g=2570-29|p=0|sv=772|alpn=h2|sig=2570-1027' AS f FROM orders WHERE NOT ((o_orderkey % 65000 + 100) & 3855 = 2570 AND ((o_orderkey % 65000 + 100) // 256) = ((o_orderkey % 65000 + 100) & 255)))""")
+ 'tls|client|v=771|c=' || CASE WHEN (o_orderkey % 65000 + 100) & 3855 = 2570 AND ((o_orderkey % 65000 + 100) // 256) = ((o_orderkey % 65000 + 100) & 255) THEN '' ELSE (o_orderkey % 65000 + 100)::VARCHAR END || '|e=10|g=2570-29|p=0|sv=772|alpn=h2|sig=2570-1027' AS f FROM orders)""")
 def dissector_tls(spark, d):
     """Groups and signatures keep reserved values, ciphers and extensions don't; the fingerprint has no mode."""
-    from ..functions.features import is_grease
-
     cipher = c("o_orderkey") % 65000 + 100
     longs = lambda *v: F.array(*(F.lit(x).cast("long") if isinstance(x, int) else x for x in v))
     held = {"tls_hs_type": longs(1), "tls_version": longs(771), "tls_cipher": longs(2570, cipher), "tls_ext_type": longs(6682, 10), "tls_groups": longs(2570, 29), "tls_points": longs(0), "tls_sv": longs(2570, 772), "tls_sig": longs(2570, 1027), "tls_alpn": F.array(F.lit("h2"))}
-    rows = table(spark, d, "orders").where(~is_grease(cipher))
+    rows = table(spark, d, "orders")
     columns = [held.get(n, F.lit(None).cast("array<bigint>")).alias(n) for n in dissector.INT_FIELDS] + [held.get(n, F.lit(None).cast("array<string>")).alias(n) for n in dissector.TEXT_FIELDS]
     frames = rows.select(F.lit("o").alias("capture"), c("o_orderkey").alias("frame"), F.lit("1").alias("stream"), *columns)
     return dissector.dissect(frames).select("frame", "protocol", "role", "fingerprint")
@@ -410,7 +407,7 @@ def _capture_files(spark: SparkSession, d: str, form: str) -> str:
     """One capture file with a packet per supplier in the shared folder, written by Spark's own file system."""
     packets = [bytes(r[0]) for r in table(spark, d, "supplier").orderBy("s_suppkey").select(s.tcp4(s.ssh_banner(F.col("s_name")), c("s_suppkey"), F.lit(1), 1000, 22)).collect()]
     data = captures.pcap_bytes(packets, 1_700_000_000) if form == "pcap" else captures.pcapng_bytes(packets)
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/a.{form}"
+    path = f"{new_path(spark)}/a.{form}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
@@ -468,7 +465,7 @@ def stream_ssh(spark, d):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
     try:
-        out = stream.drain_to(stream.ssh_stream(rows, "3650 days"), stream.SSH_OUT)
+        out = stream.drain(stream.ssh_stream(rows, "3650 days"))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out.select(*flows.FLOW, "frame", "features")
