@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +17,15 @@ from pyspark.sql import types as T
 from .chunk_cache import CACHE_CHUNKS, word_bpe
 from .common import by_chars, rows
 
-CAPACITY, SEGMENTS = 2048, 512
+#: Limits of a sequence: tokens, segments, and tokens that bear loss.
+CAPACITY, SEGMENTS, LOSS = 2048, 64, 1792
+#: Where no column has the prompt, a document is read as a dialogue: of each TURN tokens, the first ASKED ask, and bear
+#: no loss, and the others answer.
+TURN, ASKED = 256, 32
 #: The id that ends each example.
 END_ID = 1
-#: Tokens that wait in a worker to be packed with others, and characters tokenised at once.
-POOL_TOKENS, BATCH_CHARS = 1 << 17, 2_000_000
+#: Tokens and examples that wait in a worker to be packed with others, and characters tokenised at once.
+POOL_TOKENS, POOL_EXAMPLES, BATCH_CHARS = 1 << 17, 4096, 2_000_000
 
 
 @dataclass
@@ -42,13 +45,23 @@ class Example:
     def left(self) -> int:
         return self.total - self.start
 
-    def loss(self, n: int) -> int:
-        """Loss-bearing ones among the next n tokens."""
-        return max(0, self.start + n - max(self.start, self.prompt))
 
-    def most(self, tokens: int, loss: int) -> int:
-        """How many of the next tokens keep within both limits."""
-        return min(self.left, tokens, max(0, self.prompt - self.start) + loss)
+@dataclass(frozen=True)
+class Mask:
+    """Which tokens bear loss: behind the prompt, of each `turn` tokens all but the first `asked`. Numbers or arrays."""
+
+    turn: int = 1
+    asked: int = 0
+
+    def upto(self, x, prompt):
+        """Loss-bearing ones among the first x tokens."""
+        turns, rest = np.divmod(np.maximum(x - prompt, 0), self.turn)
+        return turns * (self.turn - self.asked) + np.maximum(rest - self.asked, 0)
+
+    def reach(self, loss, prompt):
+        """The most first tokens that have so many loss-bearing ones."""
+        turns, rest = np.divmod(loss, self.turn - self.asked)
+        return prompt + turns * self.turn + self.asked + rest
 
 
 def power(n: int) -> int:
@@ -59,103 +72,74 @@ def power(n: int) -> int:
 class Packer:
     """Fills one sequence after another. A sequence takes, of the examples that fit whole in what is left of every
     limit, the one whose demand vector (tokens, segments, loss-bearing tokens; as shares of the limits) has the
-    largest dot product with the vector of what is left; if none fits whole, the one with the largest product is cut.
-    A sequence that no cut can fill is cut back to a power of two tokens, which needs no padding."""
+    largest dot product with the vector of what is left; if none fits whole, of the beginnings that fit the one with
+    the largest product. Of equal products, the example that came first counts. A sequence that nothing more fits in
+    is cut back to a power of two tokens, which needs no padding."""
 
-    def __init__(self, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None):
-        if min(capacity, segments, capacity if loss is None else loss) < 1 or capacity & (capacity - 1):
+    def __init__(self, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, mask: Mask | None = None):
+        if min(capacity, segments, loss) < 1 or capacity & (capacity - 1):
             raise ValueError("limits are positive, and the capacity is a power of two")
-        self.limits = np.array([capacity, segments, capacity if loss is None else loss], float)
-        self.capacity, self.pool, self.waiting = capacity, [], 0
+        self.capacity, self.segments, self.loss, self.mask = capacity, segments, loss, mask or Mask()
+        self.pool: list[Example] = []
+        self.waiting = 0
+
+    def bears(self, e: Example, n: int) -> int:
+        """Loss-bearing ones among the next n tokens."""
+        return int(self.mask.upto(e.start + n, e.prompt) - self.mask.upto(e.start, e.prompt))
 
     def add(self, example: Example) -> Iterator[list[tuple[Example, int, int]]]:
         """Sequences as lists of (example, start, length); whole sequences of a long example need no search."""
-        while example.left >= self.capacity and example.loss(self.capacity) <= self.limits[2]:
+        while example.left >= self.capacity and self.bears(example, self.capacity) <= self.loss:
             yield [(example, example.start, self.capacity)]
             example.start += self.capacity
         if example.left:
             self.pool.append(example)
             self.waiting += example.left
-        if self.waiting >= POOL_TOKENS:
+        if self.waiting >= POOL_TOKENS or len(self.pool) >= POOL_EXAMPLES:
             yield from self.pack(self.waiting // 8)
 
     def pack(self, keep: int = 0) -> Iterator[list[tuple[Example, int, int]]]:
         """Packs what waits until at most keep tokens (and less than a sequence) do."""
         pool = self.pool
-        if self.limits[2] >= self.capacity and all(e.prompt <= e.start for e in pool):
-            yield from self._pack_by_tokens(keep)
-            return
-        need = np.array([[e.left, 1, e.loss(e.left)] for e in pool], float).reshape(-1, 3) / self.limits
+        start, stop, prompt = (np.array([x(e) for e in pool], np.int64) for x in (lambda e: e.start, lambda e: e.total, lambda e: e.prompt))
+        told = self.mask.upto(start, prompt)
         while self.waiting > keep:
-            free, bin_, total = np.ones(3), [], 0
-            while free.min() > 1e-12 and len(need) and need[:, 0].max() > 0:
-                score = need @ free
-                score[need[:, 0] <= 0] = -1.0
-                fits = (need <= free + 1e-12).all(1) & (score >= 0)
-                k = int(np.argmax(np.where(fits, score, -1.0) if fits.any() else score))
-                e = pool[k]
-                tokens, loss = (round(x) for x in (free * self.limits)[[0, 2]])
-                n = e.most(tokens, loss)
-                if n < 1:
-                    break
-                used = np.array([n, 1, e.loss(n)]) / self.limits
-                bin_.append((e, e.start, n))
-                e.start += n
-                total += n
-                free = free - used
-                need[k] = np.array([e.left, 1, e.loss(e.left)]) / self.limits if e.left else 0.0
+            tokens, segments, loss, bin_ = self.capacity, self.segments, self.loss, []
+            while tokens and segments:
+                n = np.minimum(np.minimum(stop, self.mask.reach(told + loss, prompt)) - start, tokens)
+                bears = self.mask.upto(start + n, prompt) - told
+                product = n * (tokens / self.capacity**2) + segments / self.segments**2 + bears * (loss / self.loss**2)
+                product[n < 1] = -1.0
+                whole = np.where(start + n == stop, product, -1.0)
+                k = int(whole.argmax())
+                if whole[k] < 0:
+                    k = int(product.argmax())
+                    if product[k] < 0:
+                        break
+                bin_.append((k, int(start[k]), int(n[k])))
+                tokens, segments, loss = tokens - int(n[k]), segments - 1, loss - int(bears[k])
+                start[k] += n[k]
+                told[k] += bears[k]
+            total = self.capacity - tokens
             back = total - power(total)
+            self.waiting -= total - back
             while back:  # tokens of the last pieces return to wait
-                e, start, n = bin_.pop()
+                k, at, n = bin_.pop()
                 cut = min(back, n)
-                e.start -= cut
-                back -= cut
-                total -= cut
-                if n > cut:
-                    bin_.append((e, start, n - cut))
-                k = next(i for i, x in enumerate(pool) if x is e)
-                need[k] = np.array([e.left, 1, e.loss(e.left)]) / self.limits
-            self.waiting -= total
-            yield bin_
-        self.pool[:] = [e for e in pool if e.left]
-
-
-    def _pack_by_tokens(self, keep: int) -> Iterator[list[tuple[Example, int, int]]]:
-        """The same where every token bears loss: products then grow with tokens alone, so the largest example that
-        fits, the first of equal ones, is found by bisection."""
-        pool, segments = self.pool, int(self.limits[1])
-        order = sorted((e.left, -k) for k, e in enumerate(pool))
-        while self.waiting > keep:
-            bin_, room = [], self.capacity
-            while room and order and len(bin_) < segments:
-                left, k = order.pop(bisect_right(order, (room, 1)) - 1)  # none fits: position -1, the largest
-                e, n = pool[-k], min(left, room)
-                bin_.append((k, e.start, n))
-                e.start += n
-                room -= n
-                if n < left:
-                    insort(order, (left - n, k))
-            total = self.capacity - room
-            back = total - power(total)
-            total -= back
-            while back:  # tokens of the last pieces return to wait
-                k, start, n = bin_.pop()
-                e, cut = pool[-k], min(back, n)
-                if e.left:
-                    order.pop(bisect_right(order, (e.left, k)) - 1)
-                e.start -= cut
-                insort(order, (e.left, k))
+                start[k] -= cut
+                told[k] = self.mask.upto(start[k], prompt[k])
                 back -= cut
                 if n > cut:
-                    bin_.append((k, start, n - cut))
-            self.waiting -= total
-            yield [(pool[-k], start, n) for k, start, n in bin_]
-        self.pool[:] = [e for e in pool if e.left]
+                    bin_.append((k, at, n - cut))
+            yield [(pool[k], at, n) for k, at, n in bin_]
+        for e, at in zip(pool, start.tolist(), strict=True):
+            e.start = at
+        self.pool = [e for e in pool if e.left]
 
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokenizer: str | None = None,
-    capacity: int = CAPACITY, max_segments: int = SEGMENTS, max_loss: int | None = None, end_id: int = END_ID,
+    capacity: int = CAPACITY, max_segments: int = SEGMENTS, max_loss: int = LOSS, end_id: int = END_ID,
     cache_chunks: int = CACHE_CHUNKS,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
@@ -164,10 +148,12 @@ def pack(
     task is repeated alone with the same result; sequence_id holds the partition's number above 2**36. Every sequence
     has a power of two tokens, `capacity` wherever the limits let it, so none is padded.
 
-    Null text counts as empty: its only token is end_id. Tokens of prompt_col come first and bear no loss. Repeated
+    Null text counts as empty: its only token is end_id. Tokens of prompt_col come first and bear no loss; without that
+    column documents count as dialogues (TURN, ASKED). Repeated
     rows and repeated ids are packed separately; null ids are kept. An empty table gives no rows. Other columns are
     not read, whatever their names. cache_chunks: words whose ids a worker keeps, about 200 bytes each.
     """
+    mask = Mask() if prompt_col else Mask(TURN, ASKED)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     id_type = df.schema[id_col].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
@@ -175,7 +161,7 @@ def pack(
     cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("prompt")]
 
     def run(batches):
-        cache, packer = word_bpe(path, cache_chunks), Packer(capacity, max_segments, max_loss)
+        cache, packer = word_bpe(path, cache_chunks), Packer(capacity, max_segments, max_loss, mask)
         end = np.array([end_id], "<u4").tobytes()
         first, number, placed = TaskContext.get().partitionId() << 36, 0, []
 
@@ -185,7 +171,7 @@ def pack(
                 offset = 0
                 for e, start, n in pieces:
                     crc = zlib.crc32(e.ids[4 * start : 4 * (start + n)])
-                    loss = max(0, start + n - max(start, e.prompt))
+                    loss = int(mask.upto(start + n, e.prompt) - mask.upto(start, e.prompt))
                     placed.append((e.key, start, n, crc, e.total, first + number, offset, loss))
                     offset += n
                 number += 1

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shakeprint.llm import byte_bpe, chunk_cache, packing
+from shakeprint.llm import byte_bpe, chunk_cache, packing, queries
 
 CODEC = byte_bpe.Codec()
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(CODEC.tokens)}, special_tokens={})
@@ -48,7 +48,7 @@ def test_encode_decode_rows(odd_docs, no_docs):
     assert byte_bpe.encode_decode(no_docs).count() == 0
 
 
-def check_pieces(pieces, texts, capacity, segments=512):
+def check_pieces(pieces, texts, capacity, segments=packing.SEGMENTS):
     """Every id lies in one piece, and sequences are gapless and need no padding."""
     ids = {k: np.array(WORDS.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for k, t in texts.items()}
     at, sequences = defaultdict(list), defaultdict(list)
@@ -94,22 +94,62 @@ def test_packing_limits():
         assert total <= 256 and total & (total - 1) == 0 and len(s) <= 6 and loss <= 100
 
 
-def test_both_ways_of_packing_agree():
-    """Bisection over tokens places as the general search does where every token bears loss."""
+def bearing(j, prompt, turn, asked):
+    return j >= prompt and (j - prompt) % turn >= asked
+
+
+def brute_packing(sizes, prompts, capacity, segments, loss, turn, asked):
+    """The documented heuristic on plain numbers: all examples wait, and one piece at a time is chosen."""
+    at, out = [0] * len(sizes), []
+    while any(a < n for a, n in zip(at, sizes, strict=True)):
+        free, pieces = [capacity, segments, loss], []
+        while free[0] and free[1]:
+            options = []
+            for k, (a, size, prompt) in enumerate(zip(at, sizes, prompts, strict=True)):
+                n = bears = 0
+                while n < min(size - a, free[0]) and bears + bearing(a + n, prompt, turn, asked) <= free[2]:
+                    bears += bearing(a + n, prompt, turn, asked)
+                    n += 1
+                if n > 0:
+                    product = n * (free[0] / capacity**2) + free[1] / segments**2 + bears * (free[2] / loss**2)
+                    options.append((n == size - a, product, -k, n, bears))
+            if not options:
+                break
+            _, _, k, n, bears = max(options)
+            pieces.append([-k, at[-k], n])
+            at[-k] += n
+            free = [free[0] - n, free[1] - 1, free[2] - bears]
+        total = sum(n for _, _, n in pieces)
+        back = total - max(1 << j for j in range(20) if 1 << j <= total)
+        for p in reversed(pieces):
+            cut = min(back, p[2])
+            p[2] -= cut
+            at[p[0]] -= cut
+            back -= cut
+        out.append([tuple(p) for p in pieces if p[2]])
+    return out
+
+
+def test_packing_places_as_brute_force():
+    """Every piece, in every sequence, where all three limits bind."""
     rng = np.random.default_rng(1)
-    sizes = rng.integers(1, 90, 400).tolist() + [1] * 300
-    for segments in (3, 40):
-        made = []
-        for plain in (True, False):
-            packer = packing.Packer(128, segments)
-            if not plain:
-                packer._pack_by_tokens = None
-                packer.limits[2] = np.nextafter(128, 0)  # the general search; the limit itself stays out of reach
-            examples = [packing.Example(k, np.full(n, k, "<u4").tobytes()) for k, n in enumerate(sizes)]
-            sequences = [s for e in examples for s in packer.add(e)] + list(packer.pack())
-            made.append(sequences)
-            assert sum(n for s in sequences for _, _, n in s) == sum(sizes)
-            for s in sequences:
-                total = sum(n for _, _, n in s)
-                assert total & (total - 1) == 0 and len(s) <= segments
-        assert len(made[0]) <= len(made[1]) * 1.05 + 2
+    for capacity, segments, loss, turn, asked in ((64, 3, 40, 1, 0), (32, 32, 20, 1, 0), (128, 5, 128, 1, 0), (16, 2, 1, 1, 0), (64, 4, 40, 10, 3), (32, 3, 28, 8, 1)):
+        sizes = rng.integers(1, 60, 60).tolist() + [1] * 20 + [7] * 9
+        prompts = [int(rng.integers(0, n + 1)) if k % 3 else 0 for k, n in enumerate(sizes)]
+        packer = packing.Packer(capacity, segments, loss, packing.Mask(turn, asked))
+        packer.pool = [packing.Example(k, np.full(n, k, "<u4").tobytes(), p) for k, (n, p) in enumerate(zip(sizes, prompts, strict=True))]
+        packer.waiting = sum(sizes)
+        got = [[(e.key, a, n) for e, a, n in s] for s in packer.pack()]
+        assert got == brute_packing(sizes, prompts, capacity, segments, loss, turn, asked)
+
+
+def test_packing_query_keeps_three_limits(spark, sf_dir):
+    """On the tables: loss-bearing tokens by the stated prompt rule stay within their limit, and often reach it."""
+    sequences = defaultdict(list)
+    for p in queries.op2_packing(spark, sf_dir).collect():
+        loss = sum(bearing(j, 0, packing.TURN, packing.ASKED) for j in range(p.start, p.start + p.length))
+        assert loss == p.loss_tokens
+        sequences[p.sequence_id].append((p.length, loss))
+    found = [(sum(n for n, _ in s), len(s), sum(x for _, x in s)) for s in sequences.values()]
+    assert all(n <= packing.CAPACITY and k <= packing.SEGMENTS and x <= packing.LOSS for n, k, x in found)
+    assert np.mean([x == packing.LOSS for _, _, x in found]) > 0.1 and np.mean([n == packing.CAPACITY for n, _, _ in found]) > 0.8
