@@ -16,7 +16,7 @@ from .sampling import labelled_ids, labelled_texts
 
 #: Labelled rows taken of each language, the characters read of each, and those learned of all together.
 SAMPLE_ROWS, SAMPLE_MAX_CHARS, TRAIN_CHARS = 96, 20_000, 24_000
-#: Texts are parsed in segments of so many characters, each from a fresh phrase, so that numpy steps through many at once.
+#: Texts are laid out in lanes of so many characters, so that numpy steps through many at once.
 SEGMENT, BATCH_CHARS = 512, 1_000_000
 #: A passage that rows share is this many words at least.
 PASSAGE_WORDS = 5
@@ -117,15 +117,42 @@ class CrossParser:
             flat[at * SEGMENT : at * SEGMENT + len(c)] = c
         owner = np.repeat(np.arange(len(texts)), lanes)
         columns = np.ascontiguousarray(steps.T[: min(SEGMENT, int(size.max()))])
+        later = np.ones(len(steps), bool)  # lanes that go on with a text
+        later[start[:-1][lanes > 0]] = False
         for k, root in enumerate(self.roots):
-            state = np.full(len(steps), root, np.int32)
-            broken = np.ones(len(steps), np.int32)  # the last phrase of each lane ends with it
-            for column in columns:
-                state = self.table[state + column]
-                broken += state & 1
-                state >>= 1
-            np.add.at(count[:, k], owner, broken)
-        return count, size
+            np.add.at(count[:, k], owner, self._lanes(columns, root, np.flatnonzero(later)))
+        return count + (size > 0)[:, None], size  # a text's last phrase ends with it
+
+    def _lanes(self, columns: np.ndarray, root: int, later: np.ndarray) -> np.ndarray:
+        """Phrases that end in each lane. All lanes are parsed from the root first. Lanes that go on with a text are
+        then parsed again from the state in which the lane before them ends, up to where both parses are in one state:
+        from there they agree. Where they never are, the next lane starts otherwise than was thought, and is done anew."""
+        found = np.empty(columns.shape, np.int32)
+        state = np.full(columns.shape[1], root, np.int32)
+        for t, column in enumerate(columns):
+            found[t] = self.table[state + column]
+            state = found[t] >> 1
+        ended = (found & 1).sum(0)
+        first_end, end, more = state, state.copy(), np.zeros(len(ended), np.int64)
+        todo = later
+        while len(todo):
+            lane, state, new = todo, end[todo - 1], np.zeros(len(todo), np.int64)
+            place = np.arange(len(todo))  # in todo, of the lanes whose parses still differ
+            last = first_end[todo].copy()
+            for t in range(len(columns)):
+                if not len(place):
+                    break
+                said, thought = self.table[state + columns[t, lane]], found[t, lane]
+                new[place] += (said & 1) - (thought & 1)
+                state = said >> 1
+                differ = state != thought >> 1
+                lane, state, place = lane[differ], state[differ], place[differ]
+            last[place] = state
+            more[todo] = new
+            changed = todo[last != end[todo]]
+            end[todo] = last
+            todo = np.intersect1d(changed + 1, later)
+        return ended + more
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, phrases a symbol) of each text; no letter or no language: undetermined, score 0."""
@@ -199,8 +226,8 @@ def identify(df: DataFrame, learned: tuple[tuple[str, str], ...], id_col: str =
     """One row per input row: id, held_out, lang_pred, score, phrase_rate (and with carry the input row as `row`).
 
     The language with the fewest phrases, weighed by the bits that name a place in its text, wins; equal ones: the
-    first by name. Null text, text without a letter, or nothing learned: `und`, score 0, rate 1. Whole texts are parsed
-    in segments, so a very long one costs memory only for itself. Repeated rows are each predicted; null ids are held
+    first by name. Null text, text without a letter, or nothing learned: `und`, score 0, rate 1. Whole texts are parsed,
+    phrases of any length, and a very long text costs memory only for itself. Repeated rows are each predicted; null ids are held
     out. An empty table gives no rows. Only id and text are read (all columns with carry), whatever others are named.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())]
