@@ -10,7 +10,7 @@ from html import unescape
 #: Fixed values from the HTML standard.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul caption optgroup".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|iframe|noembed|noframes|svg|math|object|textarea|title|canvas|audio|video"
+RAW = "script|style|template|noscript|iframe|noembed|noframes|svg|annotation|annotation-xml|textarea|title|canvas|audio|video"
 CLOSES_P = BLOCK - set("body html option optgroup tbody td tfoot th thead tr caption".split())
 #: A start tag ends an open element of these, up to one of those.
 ENDS = {
@@ -26,7 +26,7 @@ WALLS = {"td", "th", "table", "html", "body"}
 
 TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:--!?>|\Z))
-    |<(?:svg|math)(?=[\s/>])(?:[^>"'=/]|/(?!>)|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)?|"[^"]*+"|'[^']*+')*+/>
+    |<svg(?=[\s/>])(?:[^>"'=/]|/(?!>)|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)?|"[^"]*+"|'[^']*+')*+/>
     |<(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)
@@ -60,13 +60,13 @@ def element(tag: str, names: tuple[str, ...], unseen: bool = False) -> Element:
 
 @lru_cache(maxsize=10_000)
 def start_tag(tag: str, attrs: str) -> Element:
-    names: list[str] = []
+    names: list[str] = NAME_PART.findall(tag) if "-" in tag else []  # an element of the site's own
     unseen = False
     for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), unescape((m[2] or "").strip("\"'")).lower()
         if key in ("class", "id", "role", "aria-label", "itemprop"):
             names += [value.strip()] if len(value) < 40 else []
-            names += NAME_PART.findall(value)[:8]
+            names += NAME_PART.findall(value)
         elif key.startswith("data-"):
             names.append(key)
         elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
@@ -85,8 +85,8 @@ class Block:
 def leaf_blocks(html: str) -> list[Block]:
     """The page's blocks with text, in order: character references decoded, white space made one space, trimmed.
 
-    Comments, scripts, styles and other raw elements are left out with their content, unless another element holds the
-    text. Missing end tags are supplied as browsers do; a tag that the page's end cuts off is left out.
+    Comments, scripts, styles and other raw elements are left out with their content; of drawings and players, too, what
+    they hold, but not of formulas and of embedded objects. Missing end tags are supplied as browsers do; a tag that the page's end cuts off is left out.
     """
     blocks: list[Block] = []
     stack: list[Element] = []

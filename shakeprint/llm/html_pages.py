@@ -13,6 +13,8 @@ MARK = "data-main-text"
 SYLLABLES = "an be co da el fi go ha in ju ka lo mi no or pa qu re sa ti ul va we xi yo zé ße ñu".split()
 #: Names that layouts of the web give to their parts.
 MAIN = ["article", "content", "post", "entry", "post-content", "article-body", "story", "main", "text", "page-content", "entry-content", "blog-post"]
+BODY = ["body", "post-body", "section-content", "body-content", "inner-content", "richtext", "prose", "copy", "content-inner"]
+TITLE = ["entry-header", "post-header", "article-header", "title", "headline", "entry-title"]
 SIDE = ["sidebar", "sidebar", "side", "widget", "related-posts", "share-buttons", "related", "right-col", "recommended", "popular", "tags", "share", "social", "author-bio", "newsletter", "subscribe"]
 ADS = ["ad", "ads", "advert", "banner", "sponsored", "promo", "ad-slot", "advertisement"]
 NOTICE = ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "modal", "cookie-banner"]
@@ -46,12 +48,16 @@ class Writer:
         r = self.rng
         tag, name = r.choice(tags), r.choice(names)
         attr = r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {self.words(1, 1)}"'])
-        if tag not in ("div", "section", "p", "ul", "span") and r.random() < 0.5:
+        if tag not in ("div", "section", "p", "ul", "span", "td") and r.random() < 0.5:
             attr = r.choice(["", f' class="{self.words(1, 1)}"'])
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def menu(self) -> str:
-        return self.part(["nav", "nav", "div", "ul"], MENU, f"<ul>{self.links()}</ul>")
+        r = self.rng
+        bare = r.choice([" ", "<br>", " | ", ""]).join(f'<a href="/{self.words(1, 1)}">{self.words(1, 2)}</a>' for _ in range(r.randint(1, 6)))
+        own = f"{self.words(1, 1).split('é')[0] or 'x'}-{r.choice(['nav', 'menu'])}"  # an element of the site's own
+        own = own if own.isascii() else "x-nav"
+        return self.part(["nav", "nav", "div", "ul", "td", own], MENU, r.choice([f"<ul>{self.links()}</ul>", f"<ul>{self.links()}</ul>", bare]))
 
     def advert(self) -> str:
         return self.part(["div", "div", "aside", "section"], ADS, self.prose())
@@ -100,16 +106,43 @@ class Writer:
         if kind == 7:
             return f"<blockquote><p {MARK}>{text}</p></blockquote>"
         if kind == 8:
-            return "<ul>" + "".join(f"<li {MARK}>{self.inline(self.words(1, 12))}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+            kind = r.choice(["ul", "ul", "ol"])
+            text = [r.choice([self.inline(self.words(1, 12)), self.sentences(1, 1)]) for _ in range(r.randint(1, 5))]
+            return f"<{kind}>" + "".join(f"<li {MARK}>{x}</li>" for x in text) + f"</{kind}>"
         return f"<pre {MARK}>{text}</pre>" if r.random() < 0.5 else f"<table><tr><td {MARK}>{self.words(1, 5)}</td><td {MARK}>{self.words(1, 5)}</td></tr></table>"
 
+    def title(self) -> str:
+        r = self.rng
+        line = f"<{(h := r.choice(['h1', 'h1', 'h1', 'h2']))} {MARK}>{self.words(1, 12)}</{h}>"
+        if r.random() < 0.15:  # a header of the article's own
+            return f'<header class="{r.choice(TITLE)}">{line}</header>'
+        return line
+
+    def wrapped(self, blocks: list[str]) -> list[str]:
+        """Main blocks within elements that say little: sections, and layers of any name."""
+        r = self.rng
+        kind = r.randrange(6)
+        if kind < 3 or not blocks:
+            return blocks
+        if kind == 3:  # sections with headings
+            cut = r.randint(0, len(blocks))
+            return [f"<section>{f'<h3 {MARK}>{self.words(1, 5)}</h3>' * (r.random() < 0.7)}{''.join(part)}</section>" for part in (blocks[:cut], blocks[cut:]) if part]
+        name = r.choice([self.words(1, 1), r.choice(BODY), r.choice(MAIN), "section", "inner"])
+        tag = r.choice(["div", "div", "div", "section"])
+        return [f'<{tag} {r.choice(["class", "class", "id"])}="{name}">{"".join(blocks)}</{tag}>']
+
     def article(self) -> str:
         r = self.rng
-        blocks = [f"<h1 {MARK}>{self.words(1, 12)}</h1>"] * (r.random() < 0.85)
+        blocks = []
         for _ in range(r.randint(0, 12)):
             blocks.append(self.main_block())
             if r.random() < 0.15:
                 blocks.append(self.outside())
+        blocks = self.wrapped(blocks)
+        if r.random() < 0.15:
+            blocks = self.wrapped(blocks)
+        if r.random() < 0.85:
+            blocks = [self.title(), *blocks]
         inner = "\n".join(blocks) if r.random() < 0.5 else "".join(blocks)
         kind = r.randrange(12)
         if kind > 9:  # nothing but the text itself tells
@@ -121,6 +154,8 @@ class Writer:
         if kind == 5:
             return f"<main><article>{inner}</article></main>"
         name = r.choice(MAIN)
+        if kind == 9 and r.random() < 0.5:  # tables that lay out the page
+            return f'<table><tr>{self.menu() * (r.random() < 0.5)}<td {r.choice(["class", "id"])}="{name}">{inner}</td></tr></table>'
         return f'<section id="{name}">{inner}</section>' if kind == 6 else f'<div {r.choice(["class", "id"])}="{name}">{inner}</div>'
 
     def page(self) -> str:
@@ -130,6 +165,7 @@ class Writer:
         foot = self.part(["footer", "footer", "div"], FOOT, r.choice([f"&copy; {self.words(1, 4)} &middot; {self.sentences(1, 2)}", self.prose()])) * (r.random() < 0.85)
         body = f"{before}{self.article()}{after}"
         if r.random() < 0.3:
+            body = f'<div class="{self.words(1, 1)}">{body}</div>' if r.random() < 0.3 else body
             body = f'<div class="{r.choice(["wrapper", "container", "page", "site", "row"])}">{body}</div>'
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}{foot}{r.choice(['</body></html>', ''])}"
 
