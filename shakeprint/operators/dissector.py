@@ -111,21 +111,31 @@ def stateless(frames: DataFrame) -> Column:
     return F.concat(tls, quic, dtls, one(is_ike, "ike", ike_role, ike), one(is_rdp, "rdp", F.when(server, "server").otherwise("client"), rdp))
 
 
+def ssh_line() -> Column:
+    """The identification line's software, or the whole line; null for frames without one."""
+    line = F.regexp_replace(F.get(values("ssh_protocol"), F.lit(0)), r"\s+$", "")
+    name = F.regexp_extract(line, r"^SSH-\S+?-(.+)$", 1)
+    return F.when(name == "", line).otherwise(name)
+
+
+def ssh_rest() -> Column:
+    """The features of a key exchange behind the software; null for frames without one."""
+    flag = F.get(values("ssh_follows"), F.lit(0))
+    follows = F.when(flag.isNull(), "").when(flag != 0, "True").otherwise("False")
+    return F.when(F.size(values("ssh_kex")) > 0, F.concat_ws("|", *fields(**{n: first(f"ssh_{n}") for n in LISTS}, follows=follows)))
+
+
 def ssh_frames(frames: DataFrame) -> DataFrame:
     """capture, frame, protocol, role, features: the first key exchange of a stream has its first identification line,
     later ones the latest of the others."""
-    raw = F.regexp_replace(F.get(values("ssh_protocol"), F.lit(0)), r"\s+$", "")
-    name = F.regexp_extract(raw, r"^SSH-\S+?-(.+)$", 1)
-    rows = frames.withColumn("_line", F.when(name == "", raw).otherwise(name)).withColumn("_kex", F.size(values("ssh_kex")) > 0).where("_line is not null or _kex")
+    rows = frames.select("capture", "stream", "frame", ssh_line().alias("_line"), ssh_rest().alias("_rest")).where("_line is not null or _rest is not null")
     w = Window.partitionBy("capture", "stream").orderBy("frame")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_n": F.count("_line").over(upto), "_k": F.sum(F.col("_kex").cast("int")).over(upto), "_client": F.first("_line", ignorenulls=True).over(upto)})
+    rows = rows.withColumns({"_n": F.count("_line").over(upto), "_k": F.count("_rest").over(upto), "_client": F.first("_line", ignorenulls=True).over(upto)})
     rows = rows.withColumn("_server", F.last(F.when(F.col("_n") > 1, F.col("_line")), ignorenulls=True).over(upto))
     software = F.coalesce(F.when(F.col("_k") == 1, F.col("_client")).otherwise(F.col("_server")), F.lit(""))
-    flag = F.get(values("ssh_follows"), F.lit(0))
-    follows = F.when(flag.isNull(), "").when(flag != 0, "True").otherwise("False")
-    features = F.concat_ws("|", F.lit("ssh|peer"), *fields(id=software, **{n: first(f"ssh_{n}") for n in LISTS}, follows=follows))
-    return rows.where("_kex").select("capture", "frame", F.lit("ssh").alias("protocol"), F.lit("peer").alias("role"), features.alias("features"))
+    features = F.concat(F.lit("ssh|peer|id="), software, F.lit("|"), "_rest")
+    return rows.where("_rest is not null").select("capture", "frame", F.lit("ssh").alias("protocol"), F.lit("peer").alias("role"), features.alias("features"))
 
 
 def dissect(frames: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import synth as s
 from ..functions import features as ff
+from ..functions.names import IKE_PAYLOADS
 from ..functions.wire import prefixed, raw, text, u8, u16, u32
 from ..operators import messages
 from ..operators.link import decode, tcp_segments, udp_datagrams
@@ -530,13 +531,10 @@ def x509_chain_old(spark, d):
 
 # Lookups
 
-IKE_PAYLOADS = [(33, "SA"), (34, "KE"), (39, "AUTH"), (40, "Nonce"), (41, "Notify"), (43, "Vendor ID")]
-
-
 @query("SELECT p_partkey AS frame, string_agg(name, ',' ORDER BY pos) AS names FROM part, (VALUES (0,'SA'),(1,'KE'),(2,'Nonce'),(3,'Notify')) AS v(pos, name) GROUP BY p_partkey")
 def payload_names(spark, d):
     """Codes of exploded lists joined to a small table of names."""
-    names = spark.createDataFrame(IKE_PAYLOADS, "code int, name string")
+    names = spark.createDataFrame(list(IKE_PAYLOADS.items()), "code int, name string")
     codes = F.split(ff.feature_map(F.col("features"))["p"], "-")
     rows = ike_init(spark, d).select("frame", F.posexplode(codes).alias("pos", "code")).withColumn("code", F.col("code").cast("int"))
     named = rows.join(F.broadcast(names), "code", "left")
