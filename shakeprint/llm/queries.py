@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, html_extract, jpeg, language_id, licenses, lm_score, packing, simhash, toxicity
 from .common import table
@@ -29,7 +30,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    scores = lm_score.score(table(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, lm_score.DIGITS) for c in ("log_score", "mean_log_score")})
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_licenses": licenses.oracle_sql()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_lm_score": lm_score.ORACLE, "op6_licenses": licenses.oracle_sql()}
