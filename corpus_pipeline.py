@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on what its predecessor kept, and its decisions take effect."""
+"""The corpus pipeline: each stage works on what its predecessor kept, and its decisions take effect.
+
+Every stage takes documents with any columns besides doc_id and text, whatever their names, and all but the last return
+those columns of the rows they keep. Null text counts as empty. Rows that repeat are each decided on alike. An empty table
+gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,30 +22,34 @@ PACK_CHUNKS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the tagger predicts to be toxic."""
+    """Without the documents that the tagger predicts to be toxic: those with a score of 0.5 or more, ties with it included.
+    Empty texts are clean; where the labels tell nothing, all documents stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, carry=True).where("predicted = 0").select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter, or whose script no learned language has; see the README for what stays."""
+    """Without the documents that have no letter, or whose script no learned language has; see the README for what stays.
+    Where nothing is learned, every document is undetermined and goes."""
     found = language_id.identify(docs, language_id.train(docs), carry=True)
     return language_id.rejects(found).where("not rejected").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the row with the most code points, then the smallest id."""
+    """Of texts that are equal without white space, the row with the most code points, then the smallest id.
+    Empty texts are one group. Rows that repeat the id and the text that stay are all kept."""
     return exact_dedup.exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest id."""
-    kept = simhash.near_dedup(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Of each component of linked fingerprints, the document with the smallest id. Empty texts have one fingerprint. All
+    rows of that id stay; a null id stays only in a component without another."""
+    kept = simhash.near_dedup(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.id")), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; an empty text is one end token."""
     return packing.pack(docs, cache_chunks=PACK_CHUNKS)
 
 
