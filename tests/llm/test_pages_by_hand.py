@@ -1,11 +1,12 @@
 """Pages written and labelled by hand, in layouts that the generator of training pages doesn't make. In each, the lines
 of main text are those between ⟦ and ⟧."""
 
+import itertools
 import re
 
 import pytest
 
-from shakeprint.llm import html_extract
+from shakeprint.llm import html_extract, queries
 from shakeprint.llm.html_blocks import leaf_blocks
 
 PAGES = {
@@ -63,3 +64,29 @@ def test_extraction_of_pages_by_hand():
                 wrong.append((name, text, main))
     assert missed == 0, wrong
     assert right / total >= 0.97 and exact >= len(PAGES) - 3, wrong
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Every page of the table: of all labellings of its blocks the likeliest, by trying them all where they are few,
+    and by plain dynamic programming over whole labellings else."""
+    model = html_extract.trained()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+
+    def weight(odds, labels):
+        chain = model.chain
+        return labels[0] * chain.start + sum(o for o, y in zip(odds, labels, strict=True) if y) + sum(chain.move[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+    def best(odds):
+        if len(odds) <= 12:
+            return max(itertools.product((0, 1), repeat=len(odds)), key=lambda y: weight(odds, y))
+        ways = {0: ([0], weight(odds[:1], [0])), 1: ([1], weight(odds[:1], [1]))}
+        for o in odds[1:]:
+            ways = {y: max(((w + [y], s + model.chain.move[w[-1], y] + (o if y else 0.0)) for w, s in ways.values()), key=lambda x: x[1]) for y in (0, 1)}
+        return max(ways.values(), key=lambda x: x[1])[0]
+
+    rows = queries.op10_html_extract(spark, sf_dir).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        blocks = [b for b in leaf_blocks(pages[r.page_id] or "") if b.shown]
+        labels = best([model.odds(html_extract.features(b)) for b in blocks]) if blocks else []
+        assert r.text == "\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y) and r.n_chars == len(r.text)

@@ -46,3 +46,36 @@ def test_languages_that_no_one_speaks_go(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1))
     out = {r.doc_id: r.rejected for r in language_id.rejects(language_id.identify(df, learned)).collect()}
     assert out == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, and columns named like those that the stages make."""
+    text = "the quick brown fox jumps over the lazy dog and runs away from every hound in town "
+    rows = [(k, text + f"number {'abcdefghij'[k % 10] * 3} " * 5, "en", "s") for k in range(40)]
+    rows += [(50, None, None, None), (51, "", "en", "s"), (52, "", "en", "s"), (53, rows[3][1], "en", "s"), (3, rows[3][1], "en", "s"), (None, rows[4][1] + " more", "en", "s"), (54, "12 !!", "en", "s"), (55, " \n", "fr", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = docs.withColumns({n: F.lit(n) for n in ("row", "_kept", "id", "k", "score", "rejected", "kept", "component_id", "start")})
+    spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df in (clash, clash.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            if name != "packing":
+                assert out.columns == clash.columns, name
+            found = out.collect()
+            if df is not clash:
+                assert found == []
+                continue
+            ids = sorted((r.doc_id for r in found), key=str)
+            if name == "toxicity":  # the labels tell nothing here
+                assert len(found) == len(rows)
+            elif name == "language_id":
+                assert sorted((r[0] for r in rows if any(map(str.isalpha, r[1] or ""))), key=str) == ids
+            elif name == "exact_dedup":
+                want = [x[0] for x in brute_exact([(r[0], r[1]) for r in rows]) if x[3]]
+                assert ids == sorted(want, key=str)
+            elif name == "simhash":
+                fps = [(r[0], brute_fingerprint(r[1])) for r in rows]
+                named = dict(zip((i for i, _ in fps), brute_components(fps), strict=True))
+                assert set(ids) - {None} == {i for i, c in named.items() if i is not None and i == c}
+            else:
+                assert sum(r.start == 0 for r in found) == len(rows)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import time
@@ -284,3 +285,75 @@ def test_chain_against_enumeration():
     for k in range(1000):
         r = x[0] * np.exp(chain.start) if k == 0 else x[k] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
     assert np.isclose(chain.ratios(long, starts)[1][-1], r)
+
+
+def naive_marginals(chain, odds):
+    """Forward-backward sums in plain numbers, of one sequence."""
+    m, n = np.exp(chain.move), len(odds)
+    x = [(1.0, math.exp(max(-20.0, min(20.0, o)))) for o in odds]
+    forward, backward = [(1.0, x[0][1] * math.exp(chain.start))], [(1.0, 1.0)]
+    for k in range(1, n):
+        a = [sum(forward[-1][i] * m[i, j] for i in (0, 1)) * x[k][j] for j in (0, 1)]
+        forward.append((a[0] / sum(a), a[1] / sum(a)))
+    for k in range(n - 2, -1, -1):
+        b = [sum(m[i, j] * x[k + 1][j] * backward[-1][j] for j in (0, 1)) for i in (0, 1)]
+        backward.append((b[0] / sum(b), b[1] / sum(b)))
+    both = [(f[0] * b[0], f[1] * b[1]) for f, b in zip(forward, reversed(backward), strict=True)]
+    return [b / (a + b) for a, b in both]
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Every row of the query: words found one by one, sums over the chain in plain Python, and the logistic score."""
+    sf_dir = Path("/root/testdata/sf0.01")
+    if not sf_dir.exists():
+        pytest.skip("the driver's tables aren't here")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = 0
+    for r in queries.op9_toxicity(spark, str(sf_dir)).collect():
+        text = (texts[r.doc_id] or "").lower()
+        words, word = [], ""
+        for c in text + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        odds = [model.tagger.bias + sum(model.tagger.weights.get(f, 0.0) for f in [f"={w}", *(w[:k] for k in range(3, 9) if len(w) >= k)]) for w in words]
+        p = naive_marginals(model.tagger.chain, odds) if odds else []
+        total = sum(p)
+        x = (1.0, math.log1p(total), math.log1p(1000 * total / (len(p) + 20)) / 5, max(p), math.log1p(sum(q > 0.5 for q in p))) if p else (1.0, 0.0, 0.0, 0.0, 0.0)
+        score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+        assert math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-9) and r.predicted == (score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        some += r.predicted
+    assert some > 10
+
+
+def test_jpeg_query_against_brute_force(spark, sf_dir):
+    """Digests of the payload as it must be, and the thumbnail's hash from plain sums over a picture of its bytes."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op7_jpeg(spark, sf_dir).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        (image,) = jpeg.encode([payload])
+        assert r.media_bytes == len(image) and r.media_sha256 == hashlib.sha256(image).hexdigest()
+        size, bits = r.feature.split(":")
+        width, height = map(int, size.split("x"))
+        assert (width, height) == (8 * 64, 8 * len(payload) // 64)
+        down, across = len(payload) // 64, 64
+        cell = lambda i, j: (
+            lambda a, b, c, d: sum(payload[y * across + x] for y in range(a, b) for x in range(c, d)) / ((b - a) * (d - c))
+        )(*edges(down, 8, i), *edges(across, 9, j))
+        want = [cell(i, j) > cell(i, j + 1) for i in range(8) for j in range(8)]
+        assert int(bits, 16) == int("".join(map(str, map(int, want))), 2)
+
+
+def edges(n, parts, k):
+    """The k-th of the parts of a line of n pixels, one pixel at least."""
+    cuts = [int(x) for x in np.linspace(0, n, parts + 1)]
+    first = min(cuts[k], n - 1)
+    return first, max(cuts[k + 1], min(cuts[k] + 1, n))
