@@ -6,10 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.order import number_rows
+
 FLOW = "struct<src:string,sport:int,dst:string,dport:int>"
 SCHEMA = f"mode string, protocol string, role string, fingerprint string, fingerprint_simhash128 string, features string, sha256 string, simhash128 string, flow {FLOW}, frame int"
 #: What a record may hold besides; wrong types there are kept as text.
@@ -80,9 +82,5 @@ def _arrow(t: T.DataType) -> pa.DataType:
 
 
 def numbered(listed: DataFrame) -> DataFrame:
-    """Adds `record` by (file, item): each file's rows are numbered apart and start where the files before it end, so
-    no window holds the whole input."""
-    sizes = listed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("file").orderBy("item"))
-    return listed.withColumn("_k", within).join(starts.select("file", "start"), "file").withColumn("record", (F.col("start") + F.col("_k")).cast("long")).drop("file", "item", "_k", "start")
+    """Adds `record`, numbers from 1 by (file, item)."""
+    return number_rows(listed, [F.col("file"), F.col("item")], "record").drop("file", "item")
