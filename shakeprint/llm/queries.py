@@ -22,7 +22,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), splits=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ def test_byte_bpe_is_tiktoken(text):
     assert "".join(CODEC.decode_stream(ids, 2)) == text
     spans = CODEC.offsets(ids)
     assert [text.encode()[a:b] for a, b in spans] == [CODEC.tokens[i] for i in np.frombuffer(ids, "<u4")]
+    first_bytes = {len(text[:k].encode()) for k in range(len(text))}
+    assert CODEC.split_tokens(ids, text.encode()) == sum(a not in first_bytes for a, _ in spans)
 
 
 @settings(max_examples=400, deadline=None)
