@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 
 STEPS = 64
+#: Positions that training holds sums of at once: whole sequences, and so many besides at most.
+PART = 100_000
 _CLIP = 20.0
 
 
@@ -104,24 +106,29 @@ def train(names: list[str], column: np.ndarray, row: np.ndarray, kind: np.ndarra
     # weights, then the bias, the start and the four moves
     w, m, v = np.zeros(at + 6), np.zeros(at + 6), np.zeros(at + 6)
     w[at] = -1.0
-    inner = ~first
-    pairs = (label[:-1] * 2 + label[1:])[inner[1:]]
-    seen = np.bincount(pairs, minlength=4).astype(float)
     total = max(1, len(kind))
+    starts = np.append(np.flatnonzero(first), len(kind))
+    cuts = [0, *(int(starts[np.searchsorted(starts, at)]) for at in range(PART, len(kind), PART)), len(kind)]
+    parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    seen = np.zeros(4)
+    for part in parts:
+        seen += np.bincount((label[part][:-1] * 2 + label[part][1:])[~first[part][1:]], minlength=4)
     for step in range(1, rounds + 1):
         chain = Chain(w[at + 2 :].reshape(2, 2), w[at + 1])
         score = w[at] + np.bincount(row, w[column], size)
-        odds = score[kind]
-        x, forward, backward = chain.ratios(odds, first)
-        p = 1.0 - 1.0 / (1.0 + forward * backward)
-        off = label - p
-        by_kind = np.bincount(kind, off, size)
-        grad = np.empty_like(w)
+        by_kind, grad, mm = np.zeros(size), np.zeros_like(w), np.exp(chain.move)
+        grad[at + 2 :] = seen
+        for part in parts:
+            x, forward, backward = chain.ratios(score[kind[part]], first[part])
+            off = label[part] - 1.0 + 1.0 / (1.0 + forward * backward)
+            by_kind += np.bincount(kind[part], off, size)
+            grad[at] += off.sum()
+            grad[at + 1] += off[first[part]].sum()
+            inner = ~first[part][1:]
+            f, g = forward[:-1][inner], (x * backward)[1:][inner]
+            norm = 1.0 / (mm[0, 0] + mm[0, 1] * g + mm[1, 0] * f + mm[1, 1] * f * g)
+            grad[at + 2 :] -= [mm[0, 0] * norm.sum(), mm[0, 1] * (g @ norm), mm[1, 0] * (f @ norm), mm[1, 1] * ((f * g) @ norm)]
         grad[:at] = np.bincount(column, by_kind[row], at)
-        grad[at], grad[at + 1] = off.sum(), off[first].sum()
-        mm, f, g = np.exp(chain.move), forward[:-1][inner[1:]], (x * backward)[1:][inner[1:]]
-        joint = np.array([np.full_like(f, mm[0, 0]), mm[0, 1] * g, mm[1, 0] * f, mm[1, 1] * f * g])
-        grad[at + 2 :] = seen - (joint / joint.sum(0)).sum(1)
         grad = grad / total - decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)

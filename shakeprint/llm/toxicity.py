@@ -19,7 +19,7 @@ from .crf import Model, train as train_chain
 from .sampling import labelled_ids, labelled_texts
 
 #: Labelled rows taken of each label, the longest text taken to learn from, and the characters taken of each label.
-SAMPLE_ROWS, SAMPLE_MAX_CHARS, SAMPLE_CHARS = 1_000, 20_000, 5_000_000
+SAMPLE_ROWS, SAMPLE_MAX_CHARS, SAMPLE_CHARS = 1_000, 20_000, 3_000_000
 #: A word or beginning marks toxic words if it is in so many toxic texts and such a share of them, is so much likelier
 #: there, and the log likelihood that this isn't chance exceeds the log of the number of candidates by so much.
 SEED_TEXTS, SEED_SHARE, SEED_RATIO, SEED_EVIDENCE = 3, 0.015, 5.0, 5.0
@@ -198,18 +198,25 @@ def seeds(texts: np.ndarray, times: np.ndarray, words: np.ndarray, toxic: np.nda
     return (texts[1] >= max(SEED_TEXTS, SEED_SHARE * n1)) & (ratio >= SEED_RATIO) & (evidence >= enough)
 
 
+def untold(prior: float) -> Toxicity:
+    """The model of labels that tell nothing: one score for all."""
+    one = np.zeros(1, np.int64)
+    p = min(max(prior, 1e-6), 0.49)
+    return Toxicity(train_chain(["none"], one, one, one, one, np.ones(1, bool), rounds=1), [math.log(p / (1 - p)), *[0.0] * (SUMMARY - 1)])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Learns from a bounded sample: about SAMPLE_ROWS texts of each label outside the held-out fold, none above
     SAMPLE_MAX_CHARS, with SAMPLE_CHARS together. A word of a toxic text is labelled toxic if it or a beginning of it is
-    far more frequent in toxic texts; all other words are labelled clean. Without labels of both kinds every score is
-    the prior's. Warns if the labels don't tell any word, as when they are too few: nothing is predicted toxic then."""
+    far more frequent in toxic texts; all other words are labelled clean. Without labels of both kinds, or if they
+    don't tell any word, as when they are too few (it warns then), every score is the share of toxic labels, but below
+    0.5: nothing is predicted toxic on no evidence."""
     ids, counts = labelled_ids(labels, id_col, label_col, SAMPLE_ROWS)
     rows = labelled_texts(docs, ids, id_col, text_col, SAMPLE_MAX_CHARS, labels.schema[label_col].dataType.simpleString(), SAMPLE_CHARS)
     rows = list({text: (text, int(label == 1)) for _, text, label in rows}.values())
     toxic = np.array([y for _, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
-        prior = float(toxic.mean()) if len(rows) else 0.0
-        return Toxicity(train_chain(["none"], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool), rounds=1), [10.0 * (prior * 2 - 1), 0.0, 0.0, 0.0, 0.0])
+        return untold(float(toxic.mean()) if len(rows) else 0.0)
     lists = [WORD.findall(lowered(t)) for t, _ in rows]
     new = fresh(lists)
     kinds = {w: k for k, w in enumerate(dict.fromkeys(flat.from_iterable(lists)))}
@@ -219,8 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del lists, kinds
     texts, times, total = count(table, kind, size, toxic, new)
     marked = seeds(texts, times, total, toxic)
+    share = {1: sum(n for k, n in counts.items() if k == 1), 0: sum(n for k, n in counts.items() if k != 1)}
     if not marked.any():
         warnings.warn(f"{int(toxic.sum())} toxic and {int((toxic == 0).sum())} clean texts don't tell any toxic word", stacklevel=2)
+        return untold(share[1] / max(1, share[0] + share[1]))
     ids, of = table.of(np.arange(len(table.start) - 1))
     is_marked = np.bincount(of, marked[ids], len(table.start) - 1) > 0
     label = (is_marked[kind] & (np.repeat(toxic, size) == 1)).astype(np.int64)
@@ -229,7 +238,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     used = texts.sum(0) >= FEATURE_TEXTS
     model = Toxicity(train_chain(table.names, ids[used[ids]], of[used[ids]], kind, label, first), [0.0] * SUMMARY)
     x = np.array([summary(p) for at in range(0, len(rows), 200) for p in model.marginals([t for t, _ in rows[at : at + 200]])])
-    share = {1: sum(n for k, n in counts.items() if k == 1), 0: sum(n for k, n in counts.items() if k != 1)}
     weight = np.where(toxic == 1, share[1] / max(1, toxic.sum()), share[0] / max(1, (toxic == 0).sum()))
     model.weights = fit_scores(x, toxic, weight / weight.mean())
     model.known = {}
