@@ -119,40 +119,44 @@ class CrossParser:
         columns = np.ascontiguousarray(steps.T[: min(SEGMENT, int(size.max()))])
         later = np.ones(len(steps), bool)  # lanes that go on with a text
         later[start[:-1][lanes > 0]] = False
-        for k, root in enumerate(self.roots):
-            np.add.at(count[:, k], owner, self._lanes(columns, root, np.flatnonzero(later)))
+        found = self._lanes(columns, np.flatnonzero(later))
+        for k in range(len(self.roots)):
+            count[:, k] = np.bincount(owner, found[k], len(texts))
         return count + (size > 0)[:, None], size  # a text's last phrase ends with it
 
-    def _lanes(self, columns: np.ndarray, root: int, later: np.ndarray) -> np.ndarray:
-        """Phrases that end in each lane. All lanes are parsed from the root first. Lanes that go on with a text are
-        then parsed again from the state in which the lane before them ends, up to where both parses are in one state:
-        from there they agree. Where they never are, the next lane starts otherwise than was thought, and is done anew."""
-        found = np.empty(columns.shape, np.int32)
-        state = np.full(columns.shape[1], root, np.int32)
+    def _lanes(self, columns: np.ndarray, later: np.ndarray) -> np.ndarray:
+        """(languages x lanes) phrases that end in each lane. All lanes are parsed from the root first, for all languages
+        at once. Lanes that go on with a text are then parsed again from the state in which the lane before them ends,
+        up to where both parses are in one state: from there they agree. Where they never are, the next lane starts
+        otherwise than was thought, and is done anew."""
+        languages, lanes = len(self.roots), columns.shape[1]
+        found = np.empty((len(columns), languages * lanes), np.int32)
+        state = np.repeat(np.array(self.roots, np.int32), lanes)
         for t, column in enumerate(columns):
-            found[t] = self.table[state + column]
+            found[t] = self.table[(state.reshape(languages, lanes) + column).ravel()]
             state = found[t] >> 1
         ended = (found & 1).sum(0)
         first_end, end, more = state, state.copy(), np.zeros(len(ended), np.int64)
+        later = (lanes * np.arange(languages)[:, None] + later).ravel()
         todo = later
         while len(todo):
-            lane, state, new = todo, end[todo - 1], np.zeros(len(todo), np.int64)
+            at, state, new = todo, end[todo - 1], np.zeros(len(todo), np.int64)
             place = np.arange(len(todo))  # in todo, of the lanes whose parses still differ
             last = first_end[todo].copy()
-            for t in range(len(columns)):
-                if not len(place):
-                    break
-                said, thought = self.table[state + columns[t, lane]], found[t, lane]
+            for t, column in enumerate(columns):
+                said, thought = self.table[state + column[at % lanes]], found[t, at]
                 new[place] += (said & 1) - (thought & 1)
                 state = said >> 1
                 differ = state != thought >> 1
-                lane, state, place = lane[differ], state[differ], place[differ]
+                at, state, place = at[differ], state[differ], place[differ]
+                if not len(place):
+                    break
             last[place] = state
             more[todo] = new
             changed = todo[last != end[todo]]
             end[todo] = last
             todo = np.intersect1d(changed + 1, later)
-        return ended + more
+        return (ended + more).reshape(languages, lanes)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, phrases a symbol) of each text; no letter or no language: undetermined, score 0."""
