@@ -71,7 +71,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: T
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL, with TEXTS and NOTICES alone."""
+    """The same in DuckDB's SQL, with the same lists."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -91,7 +91,7 @@ def oracle_sql() -> str:
         return f"SELECT {canon(lower('text'))} AS digest, min(license) AS license FROM (VALUES {rows}) AS v(license, text) GROUP BY 1"
 
     return f"""
-WITH known AS ({values(TEXTS)}), named AS ({values(NOTICES)}),
+WITH known AS ({values([*TEXTS, *full_texts()])}), named AS ({values([*NOTICES, *more_notices()])}),
 d AS (SELECT doc_id, {lower("coalesce(text, '')")} AS lower FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(lower, chr(10))) AS line FROM d),
 found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices

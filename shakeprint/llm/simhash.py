@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import materialise_at, remove
 from ..operators.components import components
 from .common import attach_by_share, by_chars, default_salts, materialise, rows
 from .golay import around, nearest
@@ -110,7 +111,9 @@ def links(distinct: DataFrame) -> DataFrame:
                 at, keys, asks = probe_keys(fps[k : k + 10_000].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 10_000][at]), pa.array(asks)], names=["key", "fp", "asks"])
 
-    keys = distinct.select("fp").mapInArrow(run, "key long, fp long, asks boolean")
+    # Each fingerprint makes some sixty rows, so a few files of fingerprints are spread over all tasks first.
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = spread.mapInArrow(run, "key long, fp long, asks boolean")
     asking = keys.where("asks").select("key", F.col("fp").alias("left"))
     kept = keys.where("not asks").select("key", F.col("fp").alias("right"))
     near = F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= BITS
@@ -133,9 +136,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
     shares = docs.groupBy("fp", salt.alias("salt")).agg(F.min("id").alias("low"))
     distinct = materialise(shares.groupBy("fp").agg(F.min("low").alias("low")))
-    pairs = materialise(links(distinct))
+    pairs, path = materialise_at(links(distinct))
     # Fingerprints are the nodes; a component's name is the smallest id among its fingerprints'.
     member = components(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")))
+    remove(df.sparkSession, path)  # components() has stored its own edges
     named = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = named.join(lowest, "component").select("fp", "component_id")
