@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shakeprint.functions.lineage import materialise_at, remove
 from shakeprint.llm import exact_dedup, language_id, packing, simhash, toxicity
-from shakeprint.llm.common import materialise, table
+from shakeprint.llm.common import table
 
 #: SQL can't express the trained stages; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -63,7 +64,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = materialise_at(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
