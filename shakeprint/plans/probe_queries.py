@@ -135,13 +135,13 @@ def probe_rdp_ssh(spark, d):
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'r' ELSE s_name END AS src, CASE WHEN s_suppkey % 3 = 0 THEN 1000 ELSE 443 END::INT AS sport, CASE WHEN s_suppkey % 3 < 2 THEN 'l' ELSE '' END AS dst,
-CASE WHEN s_suppkey % 3 < 2 THEN 50000 END::INT AS dport FROM supplier""")
+CASE WHEN s_suppkey % 3 < 2 THEN '50000' ELSE '' END AS dport FROM supplier""")
 def answer_flow(spark, d):
     """From the target to the scanner; what the socket doesn't tell comes from the target."""
     end = lambda host, port, when: F.when(when, F.struct(host.alias("host"), F.lit(port).alias("port")))
     kind = c("s_suppkey") % 3
     flow = probes.oriented(end(F.lit("l"), 50000, kind < 2), end(F.lit("r"), 1000, kind != 1), F.struct(F.col("s_name").alias("host"), F.lit(443).alias("port")))
-    return table(spark, d, "supplier").select("s_suppkey", flow.alias("f")).select("s_suppkey", "f.*")
+    return table(spark, d, "supplier").select("s_suppkey", flow.alias("f")).select("s_suppkey", "f.src", "f.sport", "f.dst", F.coalesce(F.col("f.dport").cast("string"), F.lit("")).alias("dport"))
 
 
 # Dissected fields
