@@ -404,34 +404,35 @@ def sql_table_functions(spark, d):
 
 
 def _capture_files(spark: SparkSession, d: str, form: str) -> str:
-    """One capture file with a packet per supplier in the shared folder, written by Spark's own file system."""
-    packets = [bytes(r[0]) for r in table(spark, d, "supplier").orderBy("s_suppkey").select(s.tcp4(s.ssh_banner(F.col("s_name")), c("s_suppkey"), F.lit(1), 1000, 22)).collect()]
-    data = captures.pcap_bytes(packets, 1_700_000_000) if form == "pcap" else captures.pcapng_bytes(packets)
-    path = f"{new_path(spark)}/a.{form}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(bytearray(data))
-    out.close()
-    return path.rsplit("/", 1)[0]
+    """Four capture files in the shared folder, with a packet per order."""
+    path, line = new_path(spark), s.ssh_banner(F.concat(F.lit("Soft_"), (c("o_orderkey") % 97).cast("string")))
+    rows = spread(spark, d, "orders").select((c("o_orderkey") % 4).cast("string").alias("file"), c("o_orderkey").alias("frame"), s.tcp4(line, c("o_orderkey"), F.lit(1), 1000, 22).alias("payload"))
+    captures.write_captures(rows, path, form)
+    return path
 
 
-CAPTURE_SQL = "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS frame, 1::INT AS link_type, 'ssh|peer|id=' || s_name || '|kex=|hostkey=|enc_c2s=|enc_s2c=|mac_c2s=|mac_s2c=|comp_c2s=|comp_s2c=|lang_c2s=|lang_s2c=|follows=' AS features FROM supplier"
+CAPTURE_SQL = f"SELECT (o_orderkey % 4)::VARCHAR AS file, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey)::INT AS frame, 1::INT AS link_type, {ADDRESS('o_orderkey')} AS src, 'ssh|peer|id=Soft_' || (o_orderkey % 97) || '|kex=|hostkey=|enc_c2s=|enc_s2c=|mac_c2s=|mac_s2c=|comp_c2s=|comp_s2c=|lang_c2s=|lang_s2c=|follows=' AS features FROM orders"
 
 
-def _read_capture(spark: SparkSession, d: str, form: str) -> DataFrame:
-    packets = captures.read_captures(spark, _capture_files(spark, d, form))
-    return tcp_segments(packets).select("frame", "link_type", F.explode(messages.ssh_messages("body")).alias("f")).select("frame", "link_type", "f.features")
+def _captured(packets: DataFrame) -> DataFrame:
+    found = tcp_segments(packets).select("capture", "frame", "link_type", "src", F.explode(messages.ssh_messages("body")).alias("f"))
+    return found.select(F.regexp_extract("capture", r"([0-9]+)\.pcap(ng)?$", 1).alias("file"), "frame", "link_type", "src", "f.features")
 
 
 @query(CAPTURE_SQL)
 def read_pcap(spark, d):
-    return _read_capture(spark, d, "pcap")
+    return _captured(captures.read_captures(spark, _capture_files(spark, d, "pcap")))
 
 
 @query(CAPTURE_SQL)
 def read_pcapng(spark, d):
-    return _read_capture(spark, d, "pcapng")
+    return _captured(captures.read_captures(spark, _capture_files(spark, d, "pcapng")))
+
+
+@query(CAPTURE_SQL)
+def stream_captures(spark, d):
+    """Files that appear in a folder, read and decoded as a stream."""
+    return stream.drain(_captured(captures.stream_captures(spark, _capture_files(spark, d, "pcap"), files_a_batch=2)))
 
 
 # Streams

@@ -1,7 +1,7 @@
 """Capture files as a Spark data source: format("capture"), batch and stream.
 
 Rows: capture (path), frame (1-based), ts, link_type, payload. Spark's own file readers list and open the files, so any
-file system that Spark knows will do, and each file is one task's work.
+file system that Spark knows will do; each file is one task's work, and holds less than 2 GB.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ def _when(ticks: int, per_second: int) -> datetime:
 
 def classic(data: bytes) -> Iterator[Frame]:
     """Frames of a pcap file. The last frame may be shorter than its length says."""
-    order, ticks = MAGIC[data[:4]]
+    order, ticks = MAGIC[bytes(data[:4])]
     link = struct.unpack_from(f"{order}I", data, 20)[0] if len(data) >= 24 else None
     at = 24
     while at + 16 <= len(data):
         seconds, part, size, _ = struct.unpack_from(f"{order}4I", data, at)
-        yield _when(seconds * ticks + part, ticks), link, data[at + 16 : at + 16 + size]
+        yield _when(seconds * ticks + part, ticks), link, bytes(data[at + 16 : at + 16 + size])
         at += 16 + size
 
 
@@ -67,16 +67,17 @@ def next_generation(data: bytes) -> Iterator[Frame]:
             links.append(struct.unpack_from(f"{order}H", body)[0])
         elif kind == ENHANCED and len(body) >= 20:
             interface, high, low, size = struct.unpack_from(f"{order}4I", body)
-            yield _when(high << 32 | low, 10**6), links[interface] if interface < len(links) else None, body[20 : 20 + size]
+            yield _when(high << 32 | low, 10**6), links[interface] if interface < len(links) else None, bytes(body[20 : 20 + size])
         elif kind == SIMPLE and len(body) >= 16:
             (size,) = struct.unpack_from(f"{order}I", body, 8)
-            yield None, links[0] if links else None, body[16 : 16 + size]
+            yield None, links[0] if links else None, bytes(body[16 : 16 + size])
 
 
-def frames(data: bytes) -> Iterator[Frame]:
-    if data[:4] == SECTION:
+def frames(data: bytes | memoryview) -> Iterator[Frame]:
+    magic = bytes(data[:4])
+    if magic == SECTION:
         return next_generation(data)
-    if data[:4] in MAGIC:
+    if magic in MAGIC:
         return classic(data)
     raise Malformed("unsupported capture format")
 
@@ -84,7 +85,8 @@ def frames(data: bytes) -> Iterator[Frame]:
 def _batches(batches):
     kinds = pa.schema([("capture", pa.string()), ("frame", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("link_type", pa.int32()), ("payload", pa.binary())])
     for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k, path in enumerate(batch.column(0).to_pylist()):
+            data = memoryview(batch.column(1)[k].as_buffer())  # no copy of the file
             rows, held = [], 0
             for number, (ts, link, payload) in enumerate(frames(data), 1):
                 rows.append((path, number, ts, link, payload))
@@ -114,20 +116,56 @@ def stream_captures(spark: SparkSession, directory: str, glob: str | None = None
     return packets_of((reader.option("pathGlobFilter", glob) if glob else reader).load(directory))
 
 
+def _block(kind: int, body: bytes) -> bytes:
+    body += bytes(-len(body) % 4)
+    size = struct.pack("<I", len(body) + 12)
+    return struct.pack("<I", kind) + size + body + size
+
+
+#: What a file of Ethernet frames begins with, and how a frame is written, by format.
+HEADS = {
+    "pcap": struct.pack("<4sHHiIII", b"\xd4\xc3\xb2\xa1", 2, 4, 0, 0, 65535, 1),
+    "pcapng": _block(SECTION_HEADER, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(INTERFACE, struct.pack("<HHI", 1, 0, 65535)),
+}
+
+
+def record_bytes(form: str, payload: bytes, second: int) -> bytes:
+    if form == "pcap":
+        return struct.pack("<4I", second, 0, len(payload), len(payload)) + payload
+    return _block(ENHANCED, struct.pack("<5I", 0, 0, second, len(payload), len(payload)) + payload)
+
+
 def pcap_bytes(payloads: list[bytes], seconds: int = 0) -> bytes:
     """A little-endian pcap file of Ethernet frames."""
-    head = struct.pack("<4sHHiIII", b"\xd4\xc3\xb2\xa1", 2, 4, 0, 0, 65535, 1)
-    return head + b"".join(struct.pack("<4I", seconds + k, 0, len(p), len(p)) + p for k, p in enumerate(payloads))
+    return HEADS["pcap"] + b"".join(record_bytes("pcap", p, seconds + k) for k, p in enumerate(payloads))
 
 
 def pcapng_bytes(payloads: list[bytes]) -> bytes:
-    def block(kind: int, body: bytes) -> bytes:
-        body += bytes(-len(body) % 4)
-        size = struct.pack("<I", len(body) + 12)
-        return struct.pack("<I", kind) + size + body + size
-
-    out = block(SECTION_HEADER, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(INTERFACE, struct.pack("<HHI", 1, 0, 65535))
-    return out + b"".join(block(ENHANCED, struct.pack("<5I", 0, 0, k, len(p), len(p)) + p) for k, p in enumerate(payloads))
+    return HEADS["pcapng"] + b"".join(record_bytes("pcapng", p, k) for k, p in enumerate(payloads))
+
+
+def write_captures(packets: DataFrame, directory: str, form: str = "pcap") -> None:
+    """packets (file, frame, payload) as capture files `<file>.<form>` of a directory, by Spark's own file system. Rows
+    pass through the driver one partition at a time, so it holds no more than that."""
+    spark = packets.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out, current, held = None, None, bytearray()
+    for row in packets.select("file", "frame", "payload").orderBy("file", "frame").toLocalIterator():
+        if row["file"] != current or len(held) > 1 << 20:
+            if out is not None:
+                out.write(held)
+            held = bytearray()
+        if row["file"] != current:
+            if out is not None:
+                out.close()
+            current = row["file"]
+            target = jvm.org.apache.hadoop.fs.Path(f"{directory}/{current}.{form}")
+            out = target.getFileSystem(conf).create(target, True)
+            held += HEADS[form]
+        held += record_bytes(form, bytes(row["payload"]), int(row["frame"]))
+    if out is not None:
+        out.write(held)
+        out.close()
 
 
 def number_frames(df: DataFrame, order: str, capture: str = "table") -> DataFrame:
