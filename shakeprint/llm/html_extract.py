@@ -103,7 +103,8 @@ def _weigher(key: int, model: Model):
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list | None = None) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
-    Blocks that the field labels as main text, in page order, one a line. labelled: (html blocks, labels) of pages to
+    Blocks that the field labels as main text, in page order, one a line; of equally likely labellings the one with less
+    main text at the end. labelled: (html blocks, labels) of pages to
     train on instead of the generated ones. Null html counts as empty: empty text, 0. Repeated rows, null ids and null
     urls are kept; an empty table gives no rows. Whole pages are read, however long. Other columns are not read.
     """

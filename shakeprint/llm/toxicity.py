@@ -248,7 +248,8 @@ def score(df: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str
     """One row per input row: id, held_out, score, predicted, spans (and with carry the input row as struct `row`).
 
     spans lists the `first-end` code points of offending words. Null text counts as empty; a text without words has the
-    score of no toxic word. Whole texts are scored, however long. Repeated rows are each scored; null ids are held out.
+    score of no toxic word. Whole texts are scored, however long. Repeated rows are each scored, equal texts alike; a
+    score of just 0.5 is predicted toxic; null ids are held out.
     An empty table gives no rows. Only id and text are read (all columns with carry), whatever others are named.
     """
     fields = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.StringType())]

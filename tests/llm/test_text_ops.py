@@ -196,6 +196,16 @@ def test_cross_parsing_against_brute_force():
                 assert count[k, j] == brute(text, known[lang])
 
 
+def test_ties():
+    """Equal languages: the first by name. Equal labellings: no main text at the end. Equal texts: equal scores."""
+    same = language_id.CrossParser({"b": "abcabd", "a": "abcabd"})
+    assert [x[0] for x in same.predict(["abc", "zz", ""])] == ["a", "a", "und"]
+    assert crf.Chain(np.zeros((2, 2)), 0.0).viterbi([0.0, 0.0, 0.0]) == [0, 0, 0]
+    model = toxicity.untold(0.2)
+    scores = model.scores(model.marginals(["same words", "same words", "", None]))
+    assert len(set(scores.tolist())) == 1 and np.isclose(scores[0], 0.2)
+
+
 def test_toxicity(spark, odd_docs, no_docs, docs_schema):
     rng = np.random.default_rng(0)
     words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
