@@ -131,11 +131,11 @@ class CrossParser:
         otherwise than was thought, and is done anew."""
         languages, lanes = len(self.roots), columns.shape[1]
         found = np.empty((len(columns), languages * lanes), np.int32)
-        state = np.repeat(np.array(self.roots, np.int32), lanes)
+        state, ended = np.repeat(np.array(self.roots, np.int32), lanes), np.zeros(languages * lanes, np.int32)
         for t, column in enumerate(columns):
             found[t] = self.table[(state.reshape(languages, lanes) + column).ravel()]
+            ended += found[t] & 1
             state = found[t] >> 1
-        ended = (found & 1).sum(0)
         first_end, end, more = state, state.copy(), np.zeros(len(ended), np.int64)
         later = (lanes * np.arange(languages)[:, None] + later).ravel()
         todo = later
