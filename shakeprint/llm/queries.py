@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, jpeg, language_id, licenses, lm_score, packing, simhash, toxicity
+from . import byte_bpe, exact_dedup, html_extract, jpeg, language_id, licenses, lm_score, packing, resample, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,13 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_lm_score": lm_score.ORACLE, "op6_licenses": licenses.oracle_sql()}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_lm_score": lm_score.ORACLE, "op6_licenses": licenses.oracle_sql(), "op12_importance_resampling": resample.ORACLE}
