@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise, shared_dir
 
-__all__ = ["attach_by_share", "by_chars", "crc_fold", "default_salts", "fold", "hash_share", "held_out", "materialise", "rows", "shared_dir", "table"]
+__all__ = ["attach_by_share", "by_chars", "crc_fold", "default_salts", "fold", "hash_share", "held_out", "join_values", "materialise", "rows", "shared_dir", "table"]
 
 #: Rows whose crc32(id as text) leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 5, 0
@@ -52,6 +52,26 @@ def attach_by_share(rows: DataFrame, classes: DataFrame, key: str, salt: Column,
     return salted.join(shares, [key, "_salt"], how).drop("_salt")
 
 
+#: Keys that make up a HEAD-th of all occurrences or more are broadcast: there are HEAD of them at most.
+HEAD = 1 << 18
+#: A key of more bytes than this has to be so much more frequent, so that the broadcast keys have HEAD times as many bytes at most.
+KEY_BYTES = 16
+
+
+def join_values(rows: DataFrame, counts: DataFrame, key: str, total: str, head: int = HEAD) -> DataFrame:
+    """rows joined to counts (stored; one row a key, with how often it occurs in all as `total`) on key, all found.
+
+    Frequent keys are few, whatever the input, and joined by broadcast, so none brings its rows to one task. Others
+    are joined by shuffle: none of them has more than a head-th of all occurrences (more for keys of many bytes).
+    """
+    size = F.octet_length(F.col(key).cast("string")) if dict(counts.dtypes)[key] in ("string", "binary") else F.lit(KEY_BYTES)
+    every = counts.agg(F.sum(total)).first()[0] or 0
+    often = F.col(total) * F.lit(float(head)) >= F.lit(float(every)) * F.greatest(F.lit(1.0), size / KEY_BYTES)
+    frequent = F.broadcast(counts.where(often).drop(total))
+    rest = rows.join(F.broadcast(counts.where(often).select(key)), key, "left_anti").join(counts.where(~often).drop(total), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
 def rows(batch, *columns: int):
     """Tuples of a record batch's columns (all by default), made a few rows at a time."""
     columns = columns or range(batch.num_columns)
