@@ -48,7 +48,7 @@ def aligned(text):
         for k in (0, 1):
             if at in ends[k]:
                 held[k].append(str(ids[k][owner[k][at - 1]]))
-        if at in ends[0] & ends[1]:
+        if at in ends[0] and at in ends[1]:
             groups.append(",".join(held[0]) + "|" + ",".join(held[1]))
             held = ([], [])
     return ids[0], ids[1], groups, [(ids[0][x], ids[1][y]) for x, y in pairs]
@@ -198,7 +198,7 @@ def test_ties_go_to_the_smaller_id(spark):
     """Texts and noise alike: only the id tells."""
     docs = [(k, "one two three") for k in (5, 3, 9, None)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = resample.resample(frame, frame.limit(0), percent=100, min_words=1).withColumn("score", F.lit(0)).collect()
+    got = resample.resample(frame, frame.limit(0), percent=100, min_words=1).collect()
     assert {r.doc_id: r["rank"] for r in got} == {r[0]: r[4] for r in draw(docs, [], 100, 1)}
 
 
