@@ -211,7 +211,7 @@ def hamming_pairs(spark, d):
 
 @query(f"WITH {PEOPLE_CTE}, {pairs_sql()} {PAIRS}")
 def hamming_block_pairs(spark, d):
-    return similarity.record_pairs(people(spark, d), 12, "blocks")
+    return similarity.record_pairs(people(spark, d), 12, "index")
 
 
 @query(f"WITH {PEOPLE_CTE}, {pairs_sql(4, 'true')} SELECT lp, rp, count(*) AS n, sum(distance)::BIGINT AS total FROM pairs GROUP BY lp, rp")
