@@ -14,6 +14,7 @@ from ..functions.wire import prefixed, raw, text, u16
 from ..operators import active, dissector, flows, messages, quic, render, similarity
 from ..operators.link import tcp_segments, udp_datagrams
 from ..sources import capture as captures
+from ..sources import live, ranges
 from ..sources import records as record_source
 from ..streaming import stream
 from . import extract as plan
@@ -421,12 +422,12 @@ def _captured(packets: DataFrame) -> DataFrame:
 
 @query(CAPTURE_SQL)
 def read_pcap(spark, d):
-    return _captured(captures.read_captures(spark, _capture_files(spark, d, "pcap")))
+    return _captured(ranges.read_captures(spark, _capture_files(spark, d, "pcap"), range_bytes=1 << 20))
 
 
 @query(CAPTURE_SQL)
 def read_pcapng(spark, d):
-    return _captured(captures.read_captures(spark, _capture_files(spark, d, "pcapng")))
+    return _captured(ranges.read_captures(spark, _capture_files(spark, d, "pcapng"), range_bytes=1 << 20))
 
 
 @query(CAPTURE_SQL)

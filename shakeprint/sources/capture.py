@@ -1,7 +1,8 @@
-"""Capture files as a Spark data source: format("capture"), batch and stream.
+"""Capture files: their formats, and readers of whole files as a batch or as they appear in a directory.
 
-Rows: capture (path), frame (1-based), ts, link_type, payload. Spark's own file readers list and open the files, so any
-file system that Spark knows will do; each file is one task's work, and holds less than 2 GB.
+Rows: capture (path), frame (1-based), ts, link_type, payload. Spark's own file readers list and open the files here, so
+any file system that Spark knows will do; each file is one task's work, and holds less than 2 GB. See `ranges` for files
+of any size, and `live` for files that grow.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 Frame = tuple[datetime | None, int | None, bytes]
 
 
-def _when(ticks: int, per_second: int) -> datetime:
+def when(ticks: int, per_second: int) -> datetime:
     return _EPOCH + timedelta(seconds=ticks // per_second, microseconds=ticks % per_second * 10**6 // per_second)
 
 
@@ -38,7 +39,7 @@ def classic(data: bytes) -> Iterator[Frame]:
     at = 24
     while at + 16 <= len(data):
         seconds, part, size, _ = struct.unpack_from(f"{order}4I", data, at)
-        yield _when(seconds * ticks + part, ticks), link, bytes(data[at + 16 : at + 16 + size])
+        yield when(seconds * ticks + part, ticks), link, bytes(data[at + 16 : at + 16 + size])
         at += 16 + size
 
 
@@ -67,7 +68,7 @@ def next_generation(data: bytes) -> Iterator[Frame]:
             links.append(struct.unpack_from(f"{order}H", body)[0])
         elif kind == ENHANCED and len(body) >= 20:
             interface, high, low, size = struct.unpack_from(f"{order}4I", body)
-            yield _when(high << 32 | low, 10**6), links[interface] if interface < len(links) else None, bytes(body[20 : 20 + size])
+            yield when(high << 32 | low, 10**6), links[interface] if interface < len(links) else None, bytes(body[20 : 20 + size])
         elif kind == SIMPLE and len(body) >= 16:
             (size,) = struct.unpack_from(f"{order}I", body, 8)
             yield None, links[0] if links else None, bytes(body[16 : 16 + size])
@@ -82,8 +83,14 @@ def frames(data: bytes | memoryview) -> Iterator[Frame]:
     raise Malformed("unsupported capture format")
 
 
+KINDS = pa.schema([("capture", pa.string()), ("frame", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("link_type", pa.int32()), ("payload", pa.binary())])
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), KINDS, strict=True)], schema=KINDS)
+
+
 def _batches(batches):
-    kinds = pa.schema([("capture", pa.string()), ("frame", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("link_type", pa.int32()), ("payload", pa.binary())])
     for batch in batches:
         for k, path in enumerate(batch.column(0).to_pylist()):
             data = memoryview(batch.column(1)[k].as_buffer())  # no copy of the file
@@ -92,10 +99,10 @@ def _batches(batches):
                 rows.append((path, number, ts, link, payload))
                 held += len(payload)
                 if len(rows) >= ROWS_A_BATCH or held >= BYTES_A_BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                    yield batch_of(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                yield batch_of(rows)
 
 
 def packets_of(files: DataFrame) -> DataFrame:
@@ -103,10 +110,9 @@ def packets_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_batches, SCHEMA)
 
 
-def read_captures(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Packets of capture files, a file each task; other formats are an error of the task that meets one."""
-    reader = spark.read.format("binaryFile")
-    return packets_of((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+def read_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Packets of capture files, a file each task, read by Spark itself."""
+    return packets_of(spark.read.format("binaryFile").load(path))
 
 
 def stream_captures(spark: SparkSession, directory: str, glob: str | None = None, files_a_batch: int = 16) -> DataFrame:
