@@ -17,8 +17,6 @@ from .html_pages import labelled_pages
 
 BATCH_CHARS = 1_000_000
 TELLING = {"article", "main", "nav", "header", "footer", "aside", "form", "section"}
-#: Names of elements that commonly hold an article.
-HOLDERS = {"article", "content", "post", "entry", "story", "main"}
 PLAIN = {"p", "b", "em", "a", "code", "div", "ul", "li"}
 
 
@@ -27,17 +25,20 @@ def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     """Features of the elements around a block: every tag, every name, the innermost tag, and whether the innermost
     telling element holds the article or something else."""
     out = {"leaf " + path[-1].tag if path else "leaf none"}
+    own = [e for e in path if not e.scope]
     for e in path:
+        if e.scope == "wide":
+            out.update(f"wide {x}" for x in (e.tag, *e.names))
+    for e in own:
         out.add(e.tag)
-        out.update(f"{'.' if len(e.names) else ''}{n}" for n in e.names)
-    tags = [e.tag for e in path]
-    telling = [t for t in tags if t in TELLING]
+        out.update(f".{n}" for n in e.names)
+    telling = [e.tag for e in own if e.tag in TELLING]
     out.add("in " + (telling[-1] if telling else "none"))
     # What stands between the main element, if there is one, and the block; and the nearest element that tells.
-    main = next((k for k, e in enumerate(path) if e.tag in ("article", "main") or not HOLDERS.isdisjoint(e.names)), -1)
-    out.update(f"below {x}" for e in path[main + 1 :] for x in (e.tag, *e.names) if e.tag not in PLAIN or e.names)
-    out.update(f"above {x}" for e in path[: max(main, 0)] for x in e.names)
-    near = next((e for e in reversed(path) if e.names or e.tag in TELLING), None)
+    main = next((k for k, e in enumerate(own) if e.holds), -1)
+    out.update(f"below {x}" for e in own[main + 1 :] for x in (e.tag, *e.names) if e.tag not in PLAIN or e.names)
+    out.update(f"above {x}" for e in own[: max(main, 0)] for x in e.names)
+    near = next((e for e in reversed(own) if e.names or e.tag in TELLING), None)
     out.update(f"near {x}" for x in ((near.tag, *near.names) if near else ("none",)))
     return tuple(sorted(out))
 
@@ -76,7 +77,7 @@ def fit(pages: list[tuple[list[Block], list[int]]]) -> Model:
 
 
 def main_text(html: str | None, model: Model | None = None) -> str:
-    blocks = [b for b in leaf_blocks(html or "") if b.shown]
+    blocks = leaf_blocks(html or "")
     if not blocks:
         return ""
     model = model or trained()

@@ -7,7 +7,7 @@ import random
 from .html_blocks import Block, leaf_blocks
 
 PAGES, SEED = 2_000, 20240229
-#: The attribute that marks main text in generated pages; it is removed from the blocks that are learned from.
+#: The attribute that marks main text in generated pages; what is learned from is the page without it.
 MARK = "data-main-text"
 
 SYLLABLES = "an be co da el fi go ha in ju ka lo mi no or pa qu re sa ti ul va we xi yo zé ße ñu".split()
@@ -21,6 +21,8 @@ NOTICE = ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popu
 TALK = ["comments", "comment", "comment-list", "commentlist", "comment-thread", "replies", "discussion", "respond", "disqus"]
 MENU = ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "top-menu", "toc", "pagination", "skip"]
 HEAD = ["header", "masthead", "site-header", "top", "logo", "branding"]
+#: Names that say how a page or a part of it looks or behaves.
+STATE = ["{}-enabled", "has-{}", "with-{}", "no-{}", "{}-open", "{}-fixed", "is-{}", "{}-active", "{}-group", "{}-visible"]
 FOOT = ["footer", "footer", "site-footer", "page-footer", "bottom", "copyright", "legal", "colophon"]
 
 
@@ -63,11 +65,11 @@ class Writer:
         return self.part(["div", "div", "aside", "section"], ADS, self.prose())
 
     def comment_section(self) -> str:
-        each = "".join(self.part(["div", "li", "article"], ["comment", "reply", "comment-body"], f"<p>{self.sentences(1, 6)}</p>") for _ in range(self.rng.randint(1, 4)))
+        each = "".join(self.part(["div", "li", "article"], ["comment", "reply", "comment-body"], f"<p>{self.sentences(1, 6)}</p>") for _ in range(self.rng.choice([1, 2, 3, 4, 12])))
         return self.part(["section", "div", "ol"], TALK, f"<h2>{self.words(1, 3)}</h2>{each}")
 
     def form(self) -> str:
-        return f"<form{self.rng.choice(['', ' class=search', ' id=signup'])}><label>{self.words(1, 4)}</label><p>{self.sentences(1, 2)}</p><button>{self.words(1, 2)}</button></form>"
+        return f"<form{self.rng.choice(['', ' class=search', ' id=signup'])}><label>{self.words(1, 4)}</label><p>{self.sentences(1, 2)}</p><textarea>{self.words(0, 3)}</textarea><button>{self.words(1, 2)}</button></form>"
 
     def outside(self) -> str:
         r = self.rng
@@ -86,13 +88,15 @@ class Writer:
             return self.form()
         if kind == 6:
             return self.comment_section()
+        if r.random() < 0.15:
+            return f"<noscript>{self.sentences(1, 1)}</noscript>"
         return self.part(["header", "div"], HEAD, r.choice([f"<h1>{self.words(1, 4)}</h1>", self.prose()]))
 
     def inline(self, text: str) -> str:
         r, words = self.rng, text.split()
         for _ in range(r.randint(0, 2)):
             k = r.randrange(len(words))
-            words[k] = r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<b>{}", "{}<br>", "<code>{}</code>"]).format(words[k])
+            words[k] = r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<b>{}", "{}<br>", "<code>{}</code>", "<svg><text>{}</text></svg>", "<video>{}</video>"]).format(words[k])
         return " ".join(words)
 
     def main_block(self) -> str:
@@ -127,10 +131,18 @@ class Writer:
         if kind == 3:  # sections with headings
             cut = r.randint(0, len(blocks))
             return [f"<section>{f'<h3 {MARK}>{self.words(1, 5)}</h3>' * (r.random() < 0.7)}{''.join(part)}</section>" for part in (blocks[:cut], blocks[cut:]) if part]
-        name = r.choice([self.words(1, 1), r.choice(BODY), r.choice(MAIN), "section", "inner"])
+        name = r.choice([self.words(1, 1), r.choice(BODY), r.choice(MAIN), "section", "inner", self.state(), self.state(), r.choice(self.layout())])
         tag = r.choice(["div", "div", "div", "section"])
         return [f'<{tag} {r.choice(["class", "class", "id"])}="{name}">{"".join(blocks)}</{tag}>']
 
+    def layout(self) -> list[str]:
+        """Names that other parts have, and that a wrapper of the text may have all the same: not those of readers' comments."""
+        return self.rng.choice([SIDE, ADS, NOTICE, MENU, HEAD, FOOT, ["form", "form-group", "form-row", "text-widget", "widget-content"]])
+
+    def state(self) -> str:
+        name = self.rng.choice(self.rng.choice([SIDE, ADS, NOTICE, MENU, HEAD, FOOT, TALK, MAIN]))
+        return self.rng.choice(STATE).format(name)
+
     def article(self) -> str:
         r = self.rng
         blocks = []
@@ -167,16 +179,18 @@ class Writer:
         if r.random() < 0.3:
             body = f'<div class="{self.words(1, 1)}">{body}</div>' if r.random() < 0.3 else body
             body = f'<div class="{r.choice(["wrapper", "container", "page", "site", "row"])}">{body}</div>'
-        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}{foot}{r.choice(['</body></html>', ''])}"
+        if r.random() < 0.12:  # a form around the page
+            body = f'<form id="{r.choice(["aspnetForm", "form1", "mainform", "page"])}" method="post">{body}</form>'
+        look = r.choice(["", "", f' class="{self.state()}"', f' class="{self.state()} {r.choice(MENU + SIDE)}"', f' id="{r.choice(MAIN + HEAD)}"'])
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body{look}>{body}{foot}{r.choice(['</body></html>', ''])}"
 
 
 def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[list[Block], list[int]]]:
     writer = Writer(random.Random(seed))
     out = []
     for _ in range(count):
-        blocks = leaf_blocks(writer.page())
-        labels = [int(any(MARK in e.names for e in b.path)) for b in blocks]
-        for b in blocks:
-            b.path = [e.without(MARK) for e in b.path]
+        page = writer.page()
+        labels = [int(any(MARK in e.names for e in b.path)) for b in leaf_blocks(page)]
+        blocks = leaf_blocks(page.replace(f" {MARK}", ""))
         out.append((blocks, labels))
     return out
