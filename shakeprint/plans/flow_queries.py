@@ -458,19 +458,38 @@ def stream_first_seen(spark, d):
     return stream.drain(stream.first_frames(rows), "complete").select(*flows.FLOW, "features", "frame")
 
 
+def _with_state(spark: SparkSession, run):
+    """run() with the state store that keyed streams need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stream.STATE_STORE)
+    try:
+        return run()
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Whole seconds lie between events, so no timer falls on the last watermark.
+LATE_MS = 3_600_250
+
+
+@query(f"""SELECT {FLOW_SQL}, 'tls|server|v=771|c=' || (value::INT % 3 + 1) || '|e=|sv=' AS features, (min(event_id) + 1) AS frame
+FROM (SELECT event_id, user_id, trunc(value) AS value, epoch_ms(ts::TIMESTAMP) AS ms, max(epoch_ms(ts::TIMESTAMP)) OVER () AS newest FROM events)
+GROUP BY user_id, value::INT % 3 HAVING min(ms) + 2 * {LATE_MS} < any_value(newest)""")
+def stream_earliest_sight(spark, d):
+    """Each first sight once no earlier frame can come any more; those of the last hours still wait."""
+    rows = tcp_segments(_stream_frames(spark, d, _hello())).select("capture", "frame", "ts", *flows.FLOW, F.posexplode(messages.tcp_messages("body")).alias("place", "f")).select("*", "f.*", F.lit(0).alias("stage"))
+    sights = stream.earliest_sight_stream(rows, f"{LATE_MS} milliseconds", "3650 days")
+    return _with_state(spark, lambda: stream.drain(sights)).select(*flows.FLOW, "features", "frame")
+
+
 @query(f"WITH {SSH_EVENTS_SQL} SELECT {FLOW_SQL}, (event_id + 1) AS frame, 'ssh|peer|id=' || rest AS features FROM full_")
 def stream_ssh(spark, d):
     """The drained stream gives the completed flows of the batch; lines alone wait for their time limit."""
     rows = tcp_segments(_stream_frames(spark, d, _ssh_bytes()))
     line = messages.is_banner(F.col("body"))
     rows = rows.where(line | messages.maybe_kexinit(F.col("body"))).select("capture", "frame", "ts", *flows.FLOW, messages.ssh_software(F.when(line, F.col("body"))).alias("software"), messages.ssh_lists("body").alias("lists"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
-    try:
-        out = stream.drain(stream.ssh_stream(rows, "3650 days"))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return out.select(*flows.FLOW, "frame", "features")
+    return _with_state(spark, lambda: stream.drain(stream.ssh_stream(rows, "3650 days"))).select(*flows.FLOW, "frame", "features")
 
 
 ORDERS_SQL = "'client' AS role, 'quic|client|v=1|tls_v=771|c=' || (o_orderkey % 200 + 4865) || '|e=16|g=|p=|sv=|alpn=h3|sig=' AS features FROM orders"
