@@ -7,9 +7,9 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import materialise, shared_dir
+from ..functions.lineage import materialise, materialise_freed, shared_dir
 
-__all__ = ["attach_by_share", "by_chars", "crc_fold", "default_salts", "fold", "hash_share", "held_out", "join_values", "materialise", "rows", "shared_dir", "table"]
+__all__ = ["attach_by_share", "by_chars", "crc_fold", "default_salts", "fold", "hash_share", "held_out", "join_values", "materialise", "materialise_small", "rows", "shared_dir", "table"]
 
 #: Rows whose crc32(id as text) leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 5, 0
@@ -52,8 +52,19 @@ def attach_by_share(rows: DataFrame, classes: DataFrame, key: str, salt: Column,
     return salted.join(shares, [key, "_salt"], how).drop("_salt")
 
 
+def materialise_small(df: DataFrame) -> DataFrame:
+    """materialise(df) in a denser encoding, without the shuffle files that it took."""
+    conf, key = df.sparkSession.conf, "spark.sql.parquet.compression.codec"
+    before = conf.get(key)
+    conf.set(key, "zstd")
+    try:
+        return materialise_freed(df)
+    finally:
+        conf.set(key, before)
+
+
 #: Keys that make up a HEAD-th of all occurrences or more are broadcast: there are HEAD of them at most.
-HEAD = 1 << 18
+HEAD = 1 << 21
 #: A key of more bytes than this has to be so much more frequent, so that the broadcast keys have HEAD times as many bytes at most.
 KEY_BYTES = 16
 

@@ -13,14 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_chars, join_values, materialise, rows
+from .chunk_cache import SPACES
+from .common import by_chars, join_values, materialise_small, rows
 
 LIMIT = 2048
 #: Chunks that a worker keeps (about 300 bytes each), how long they are at most, and characters that are cut at once.
-CACHE_CHUNKS, CHUNK_BYTES, BATCH_CHARS = 300_000, 64, 1_000_000
+CACHE_CHUNKS, CHUNK_BYTES, BATCH_CHARS = 400_000, 64, 1_000_000
 #: What an added token's name begins with in place of itself: no pre-token has white space.
 ADDED = " "
-PLAIN = re.compile(rb"[!-~]*")
+LAST_SIGNS = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+(?=[ \n])")
+SIGNS = [*map(chr, (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F))), "''", ",'.", "&&&"]
+#: A word that stands behind others to tell them apart.
+MARK = "\u2500"
+#: White space inside a chunk, as any of the libraries sees it.
+INNER = re.compile(f"[{SPACES}\x1c-\x1f]")
 
 
 class PreTokens:
@@ -40,7 +46,12 @@ class PreTokens:
         names = sorted((t.content for t in added), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.in_bytes = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
-        self.independent = self._cut("a b\tc\nd") == ["a", "b", "c", "d"]
+        self.mark = MARK
+        cut = self._cut(f"a b\tc\nd é {MARK}")
+        self.independent, self.mark_name = cut[:4] == ["a", "b", "c", "d"] and len(cut) == 6 and not any(re.search(r"\s", n) for n in names), cut[-1]
+        self.signs_apart = self.independent and all(self._cut(f"ab{x} cd") == ["ab", x, "cd"] for x in SIGNS)
+        self.small = self._cut("ABC XYZ") == self._cut("abc xyz")
+        self.added_bytes = [n.encode() for n in names]
         self.known: dict[bytes, bytes] = {}
         self.names: list[str] = []
         self.code_of: dict[str, int] = {}
@@ -71,25 +82,47 @@ class PreTokens:
         return np.array(out, "<u4")
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Chunks of printable ASCII go through the library together: with a space between them, a pre-token's place
-        tells its chunk. Others go alone."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c) and not (self.in_bytes and self.in_bytes.search(c))] if self.independent else []
-        if plain:
-            joined = b" ".join(plain).decode()
+        """Chunks without an added token or white space of any library go through the library together, with a marked
+        word behind each; others go alone."""
+        marked = self.mark.encode()
+        plain = [c for c, text in zip(chunks, b" ".join(chunks).decode().split(" "), strict=True) if not INNER.search(text) and marked not in c and not (self.in_bytes and self.in_bytes.search(c))] if self.independent else []
+        # Of ASCII the library tells a pre-token's place rightly, so a space is mark enough.
+        plain.sort(key=bytes.isascii)
+        first = next((k for k, c in enumerate(plain) if c.isascii()), len(plain))
+        if first:
+            codes = self._code(self._cut(" ".join(f"{c.decode()} {self.mark}" for c in plain[:first])))
+            ends = np.flatnonzero(codes == self.code_of[self.mark_name])
+            if len(ends) == first:
+                self._keep(plain[:first], codes, [0, *(ends[:-1] + 1).tolist()], ends.tolist())
+        if first < len(plain) and self.tokenizer.pre_tokenizer:
+            joined = b" ".join(plain[first:]).decode()
             normal = self.tokenizer.normalizer.normalize_str(joined) if self.tokenizer.normalizer else joined
-            if len(normal) == len(joined) and self.tokenizer.pre_tokenizer:
+            if len(normal) == len(joined):
                 found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-                codes = self._code(name for name, _ in found)
-                starts = np.cumsum([0, *(len(c) + 1 for c in plain)])
-                at = np.searchsorted(np.array([a for _, (a, _) in found], np.int64), starts)
-                self.known.update((c, codes[a:b].tobytes()) for c, a, b in zip(plain, at.tolist(), at[1:].tolist(), strict=False))
+                starts = np.cumsum([0, *(len(c) + 1 for c in plain[first:])])
+                at = np.searchsorted(np.array([a for _, (a, _) in found], np.int64), starts).tolist()
+                self._keep(plain[first:], self._code(name for name, _ in found), at[:-1], at[1:])
         self.known.update((c, self._code(self.of(c.decode())).tobytes()) for c in chunks if c not in self.known)
 
+    def _chunks(self, text: bytes) -> list[bytes]:
+        """Runs without white space, such that words are found again: where the pre-tokenizer does so, too, signs between
+        a letter and white space stand apart, and letters are small (unless a mark follows that could join one)."""
+        if self.signs_apart and not any(n in text for n in self.added_bytes):
+            if self.small and b"\xcc" not in text and b"\xcd" not in text:
+                small = text.lower()
+                text = text if any(n in small for n in self.added_bytes) else small
+            text = LAST_SIGNS.sub(rb" \g<0>", text)
+        return text.split()
+
+    def _keep(self, chunks: list[bytes], codes: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        blob = codes.tobytes()
+        self.known.update((c, blob[4 * a : 4 * b]) for c, a, b in zip(chunks, starts, ends, strict=True))
+
     def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """For each text the end of its run in the two arrays that follow: names of its pre-tokens, and how often each occurs."""
         if len(self.known) > self.limit or len(self.names) > self.limit:
             self.known, self.names, self.code_of = {}, [], {}
-        parts = [(t or "").encode().split() if self.independent else [t.encode()] if t else [] for t in texts]
+        parts = [self._chunks((t or "").encode()) if self.independent else [t.encode()] if t else [] for t in texts]
         new = [c for c in set(chain.from_iterable(parts)) if c not in self.known]
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
@@ -149,9 +182,9 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped in each task before it is shuffled; frequent pre-tokens go back by broadcast, others by shuffle.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    stored = materialise(pre_token_frequencies(df, path, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    stored = materialise_small(pre_token_frequencies(df, path, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
     listed = stored.select("_row", F.explode(F.arrays_zip("names", "counts")).alias("p")).select("_row", F.col("p.names").alias("name"), F.col("p.counts").alias("n"))
-    counted = materialise(count_pieces(listed.groupBy("name").agg(F.sum("n").alias("total")), path))
+    counted = materialise_small(count_pieces(listed.groupBy("name").agg(F.sum("n").alias("total")), path))
     sums = join_values(listed, counted, "name", "total").groupBy("_row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"))
     out = stored.select("_row", "_id", "n_bytes").join(sums, "_row", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
