@@ -16,7 +16,7 @@ from ..operators.link import tcp_segments, udp_datagrams
 from ..sources import capture as captures
 from ..sources import live, ranges
 from ..sources import records as record_source
-from ..streaming import stream
+from ..streaming import quic_state, stream
 from . import extract as plan
 from .catalogue import FEATURES_SQL, c, people_features, query, simhash_sql, spread, ssh_lists, table
 
@@ -430,6 +430,13 @@ def read_pcapng(spark, d):
     return _captured(ranges.read_captures(spark, _capture_files(spark, d, "pcapng"), range_bytes=1 << 20))
 
 
+@query(CAPTURE_SQL)
+def stream_live_captures(spark, d):
+    """The same as a stream that follows the files by bytes, in micro-batches and tasks of a part of a file."""
+    folder = _capture_files(spark, d, "pcapng")
+    return stream.drain(_captured(live.live_captures(spark, folder, "*.pcapng", task_bytes=1 << 18)))
+
+
 @query(CAPTURE_SQL)
 def stream_captures(spark, d):
     """Files that appear in a folder, read and decoded as a stream."""
@@ -500,7 +507,7 @@ def stream_quic(spark, d):
     schema = spark.read.parquet(f"{d}/orders.parquet").schema
     orders = spark.readStream.schema(schema).parquet(f"{d}/orders.parque[t]")
     datagrams = udp_datagrams(_quic_frames(spark, d, rows=orders))
-    return stream.drain_quic(datagrams, "36500 days").select("frame", "src", "sport", "role", "features")
+    return _with_state(spark, lambda: stream.drain(quic_state.quic_stream(datagrams, "3650 days"))).select("frame", "src", "sport", "role", "features")
 
 
 @query(f"SELECT DISTINCT {FLOW_SQL}, 'tls|server|v=771|c=' || (trunc(value)::INT % 3 + 1) || '|e=|sv=' AS features FROM events")

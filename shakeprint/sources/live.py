@@ -21,8 +21,8 @@ from .capture import BYTES_A_BATCH, ROWS_A_BATCH, SCHEMA, batch_of
 from .scan import Scanner, State, place_of
 
 NAME = "live_capture"
-#: What tells files apart: so many first bytes. Shorter ones wait.
-HEAD = 64
+#: A file is known by its first bytes: as many as it had when it was first seen, from LEAST to HEAD. Shorter ones wait.
+LEAST, HEAD = 28, 512
 #: Bytes of a file that one micro-batch takes at most (and one record more), and that one task reads.
 BATCH_BYTES, TASK_BYTES = 256 << 20, 64 << 20
 
@@ -37,27 +37,46 @@ class Slice(InputPartition):
     state: str
 
 
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()[:24]
+
+
 class LiveReader(DataSourceStreamReader):
-    """Offsets: of each file (by the digest of its first bytes) `capture`, the name it had first; `byte`, a boundary; `frame`, the
+    """Offsets: of each file `capture`, the name it had first; `path`, where it was last; `byte`, a boundary; `frame`, the
     packets before it; `state`, what a reader has to know there."""
 
     def __init__(self, options: dict):
         self.directory, self.glob = options["path"], options.get("glob", "*")
         self.batch_bytes, self.task_bytes = int(options.get("batchBytes", BATCH_BYTES)), int(options.get("taskBytes", TASK_BYTES))
         self.at: dict[str, dict] = {}
-        self.paths: dict[str, str] = {}
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
-    def _files(self) -> Iterator[tuple[str, str, int]]:
-        """(key, path, size) of the capture files there are, by path."""
+    def _files(self) -> dict[str, tuple[bytes, int]]:
+        """The first bytes and the size of each capture file there is."""
         where, name = place_of(self.directory)
         infos = where.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True))
+        out = {}
         for info in sorted(infos, key=lambda x: x.path):
-            if info.type == fs.FileType.File and fnmatch(info.base_name, self.glob) and info.size >= HEAD:
+            if info.type == fs.FileType.File and fnmatch(info.base_name, self.glob) and info.size >= LEAST:
                 with where.open_input_file(info.path) as f:
-                    yield hashlib.sha256(f.read(HEAD)).hexdigest()[:32], info.path, info.size
+                    out[info.path] = f.read(HEAD), info.size
+        return out
+
+    def _paths(self, known: dict[str, dict], files: dict[str, tuple[bytes, int]]) -> dict[str, str]:
+        """Where each known file is now: where it was, or else under another name that isn't taken."""
+
+        def fits(key: str, path: str) -> bool:
+            head, size = files[path]
+            n, digest = key.split(".")[:2]
+            return size >= known[key]["byte"] and len(head) >= int(n) and _digest(head[: int(n)]) == digest
+
+        out = {key: p["path"] for key, p in known.items() if p["path"] in files and fits(key, p["path"])}
+        for key in known:
+            if key not in out and (path := next((p for p in files if p not in out.values() and fits(key, p)), None)):
+                out[key] = path
+        return out
 
     def _walk(self, path: str, size: int, at: dict | None, most: int) -> dict | None:
         """The place of the last boundary up to `most` bytes behind `at`; None for what is no capture (yet)."""
@@ -78,29 +97,30 @@ class LiveReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Headers of what is new are walked over here, and no payload is read."""
-        out, taken = dict(self.at), {p["capture"] for p in self.at.values()}
-        for key, path, size in self._files():
-            if key in self.paths and self.paths[key] != path and key in out and self._same_now(key):
-                continue  # a copy of a file that is still there
-            self.paths[key] = path
+        out, files = dict(self.at), self._files()
+        paths = self._paths(out, files)
+        taken = {p["capture"] for p in out.values()}
+        for path in [p for p in files if p not in paths.values()]:
+            head = files[path][0]
+            key = f"{len(head)}.{_digest(head)}.{_digest(path.encode())}"
+            paths[f"{key}.{len(out)}" if key in out else key] = path
+        for key, path in paths.items():
             place = out.get(key)
-            if place and place["byte"] >= size:
+            if place and place["byte"] >= files[path][1]:
                 continue
             # After a restart nothing is known of a file: it is walked over up to its end, once.
-            found = self._walk(path, size, place, self.batch_bytes)
+            found = self._walk(path, files[path][1], place, self.batch_bytes)
             if found:
-                name = place["capture"] if place else path if path not in taken else f"{path}#{key[:8]}"
+                name = place["capture"] if place else path if path not in taken else f"{path}#{key.split('.')[1][:8]}"
                 taken.add(name)
-                out[key] = {"capture": name, **found}
+                out[key] = {"capture": name, "path": path, **found}
         self.at = out
         return {"files": out}
 
-    def _same_now(self, key: str) -> bool:
-        return any(k == key and p == self.paths[key] for k, p, _ in self._files())
-
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         self._remember(end)
-        paths = {key: (path, size) for key, path, size in self._files()}
+        files = self._files()
+        paths = {key: (path, files[path][1]) for key, path in self._paths(end["files"], files).items()}
         out = []
         for key, stop in end["files"].items():
             begin = start["files"].get(key)

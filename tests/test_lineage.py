@@ -45,15 +45,3 @@ def test_remove(spark):
     lineage.remove(spark, path)
     with pytest.raises(Exception, match="(?i)path|file"):
         spark.read.parquet(path).count()
-
-
-def test_old_datagrams_go_with_their_micro_batch(spark):
-    flows = stream.QuicFlows(spark, "1 hour")
-    start = datetime(2024, 1, 1)
-    for number, hours in enumerate((0, 0.5, 1.25, 5, 4)):
-        rows = [("c", number, start + timedelta(hours=hours), "a", 1, "b", 443, bytes([0xC0, 0, 0, 0, 1, 0, 0]))]
-        flows(spark.createDataFrame(rows, "capture string, frame int, ts timestamp, src string, sport int, dst string, dport int, body binary"), number)
-        left = {k for k in range(number + 1) if spark._jvm.java.io.File(f"{flows.state}/{k}".removeprefix("file:")).exists()}
-        assert left == set(flows.kept) == {0: {0}, 1: {0, 1}, 2: {1, 2}, 3: {3}, 4: {3, 4}}[number]
-    assert flows.finish().where(F.col("role") != "peer").count() == 0
-    assert stream.QuicFlows(spark).finish().count() == 0
