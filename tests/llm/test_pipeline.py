@@ -1,3 +1,7 @@
+import zlib
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -10,7 +14,7 @@ from tests.llm.test_tokens import check_pieces
 
 def test_names_and_stages():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "exact_dedup", "simhash", "packing"]
 
 
@@ -79,3 +83,21 @@ def test_stages_on_odd_tables(spark, tmp_path):
                 assert set(ids) - {None} == {i for i, c in named.items() if i is not None and i == c}
             else:
                 assert sum(r.start == 0 for r in found) == len(rows)
+
+
+def test_toxicity_stage_drops_labelled_rows(spark):
+    """Against the labels, not the model: of rows that nothing is learned from, and of all."""
+    sf_dir = "/root/testdata/sf0.1"
+    if not Path(sf_dir).exists():
+        pytest.skip("the driver's tables aren't here")
+    docs = table(spark, sf_dir, "documents")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).select("doc_id").collect()}
+    toxic = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").where("toxic is not null").collect()}
+    texts = {r.doc_id for r in docs.select("doc_id").collect()}
+    for some in (texts, {k for k in texts if zlib.crc32(str(k).encode()) % 5 == 0}):
+        dropped = [k for k in some if toxic.get(k) == 1 and k not in kept]
+        marked = [k for k in some if toxic.get(k) == 1]
+        clean = [k for k in some if toxic.get(k) == 0]
+        assert len(dropped) >= 20 and len(dropped) >= 0.9 * len(marked), (len(dropped), len(marked))
+        assert sum(k in kept for k in clean) >= 0.99 * len(clean)
+    assert len(kept) > 0.8 * len(texts)
