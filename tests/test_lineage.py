@@ -1,17 +1,14 @@
-"""The shared folder: where it is unset, what is removed, and the expiry of streamed state."""
+"""The shared folder: where it is unset, and what is removed."""
 
 import os
 import subprocess
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
 from shakeprint.functions import lineage
-from shakeprint.streaming import stream
 
 ROOT = Path(__file__).resolve().parent.parent
 SCRIPT = """
