@@ -23,6 +23,8 @@ PASSAGE_WORDS = 5
 #: Sharpness of the score: the entropy difference, in bits a character, that makes one language e times likelier.
 BITS_PER_E = 0.25
 UNDETERMINED = "und"
+#: Up to so many steps (four bytes each) stand in a table of all states and symbols; more in a hash table, with equal results.
+DENSE_CELLS = 1 << 25
 #: Above so many phrases a symbol a text is rejected: foreign scripts, but hardly other languages of the same script.
 MAX_PHRASES = 0.7
 _LAST = 0x323B0
@@ -73,6 +75,83 @@ class SuffixAutomaton:
             last = new
 
 
+class Dense:
+    """All steps of all languages as one table. A state is its row's offset, so that one addition finds a step: twice the
+    next state, and one more if the symbol ends a phrase."""
+
+    kind = np.int32
+
+    def __init__(self, machines: list[SuffixAutomaton], width: int):
+        tables, self.roots, base = [], [], 0
+        for sam in machines:
+            # A symbol that ends the phrase starts the next one: it leads where it leads from the root, and counts 1. One
+            # that the language lacks is a phrase of its own: behind it, in the last state, any symbol starts another.
+            lone = len(sam.next)
+            go = np.zeros((lone + 1, width), np.int64)
+            go[:] = [[2 * sam.next[0].get(c, lone) + 1 for c in range(width)]]
+            go[0] -= 1  # nothing ends at the start
+            for state, edges in enumerate(sam.next):
+                go[state, list(edges)] = [2 * x for x in edges.values()]
+            go[:, 0] = 2 * np.arange(lone + 1)
+            tables.append((((go >> 1) + base) * width << 1 | go & 1).astype(np.int32).ravel())
+            self.roots.append(base * width)
+            base += lone + 1
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+
+    def go(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table[state + symbol]
+
+
+class Sparse:
+    """The same steps for many symbols: those within a phrase in a hash table, the others, which are alike for all states of
+    a language, in a row a language. A state is its number."""
+
+    kind = np.int64
+
+    def __init__(self, machines: list[SuffixAutomaton], width: int):
+        self.width, self.roots, base = width, [], 0
+        keys, values, rest, owner = [], [], [], []
+        for k, sam in enumerate(machines):
+            lone = len(sam.next)
+            for state, edges in enumerate(sam.next):
+                keys += [(base + state) * width + c for c in edges]
+                values += [2 * (base + x) for x in edges.values()]
+            rest.append([2 * (base + sam.next[0].get(c, lone)) + 1 for c in range(width)])
+            owner.append(np.full(lone + 1, k))
+            self.roots.append(base)
+            base += lone + 1
+        self.rest, self.owner = np.array(rest, np.int64).ravel(), np.concatenate(owner) * width
+        self.at_start = np.zeros(base, np.int64)
+        self.at_start[self.roots] = 1
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys, self.values = np.full(1 << 64 - int(self.shift), -1, np.int64), np.zeros(1 << 64 - int(self.shift), np.int64)
+        key, value = np.array(keys, np.int64), np.array(values, np.int64)
+        slot = self._slot(key)
+        while len(key):  # each free place goes to the first key that asks for it, others ask for the next place
+            places, first = np.unique(slot, return_index=True)
+            first = first[self.keys[places] < 0]
+            self.keys[slot[first]], self.values[slot[first]] = key[first], value[first]
+            left = np.ones(len(key), bool)
+            left[first] = False
+            key, value, slot = key[left], value[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def go(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        state, symbol = (x.ravel() for x in np.broadcast_arrays(state, symbol))
+        out = self.rest[self.owner[state] + symbol] - self.at_start[state]
+        key = state * self.width + symbol
+        slot, open_ = self._slot(key), np.arange(len(key))
+        while len(open_):
+            held = self.keys[slot]
+            same = held == key[open_]
+            out[open_[same]] = self.values[slot[same]]
+            on = ~same & (held >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return np.where(symbol == 0, 2 * state, out)
+
+
 class CrossParser:
     """Parses texts with the suffix automaton of each language: from a phrase's start to the longest match, then on."""
 
@@ -84,24 +163,11 @@ class CrossParser:
         self.classes = np.ones(_LAST + 1, np.int32)
         self.classes[symbols] = np.arange(2, 2 + len(symbols))
         self.width = 2 + len(symbols)
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for k in self.languages:
-            sam = SuffixAutomaton(self.classes[folded[k]].tolist())
-            # A symbol that ends the phrase starts the next one: it leads where it leads from the root, and counts 1. One
-            # that the language lacks is a phrase of its own: behind it, in the last state, any symbol starts another.
-            lone = len(sam.next)
-            go = np.zeros((lone + 1, self.width), np.int64)
-            go[:] = [[2 * sam.next[0].get(c, lone) + 1 for c in range(self.width)]]
-            go[0] -= 1  # nothing ends at the start
-            for state, edges in enumerate(sam.next):
-                go[state, list(edges)] = [2 * x for x in edges.values()]
-            go[:, 0] = 2 * np.arange(lone + 1)
-            # States are stored as offsets into the joined table, so one addition finds an entry.
-            tables.append((((go >> 1) + base) * self.width << 1 | go & 1).astype(np.int32).ravel())
-            self.roots.append(base * self.width)
-            self.bits.append(math.log2(max(2, len(folded[k]))))
-            base += lone + 1
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        machines = [SuffixAutomaton(self.classes[folded[k]].tolist()) for k in self.languages]
+        self.bits = [math.log2(max(2, len(folded[k]))) for k in self.languages]
+        cells = sum(len(m.next) + 1 for m in machines) * self.width
+        self.steps: Dense | Sparse = (Dense if cells <= DENSE_CELLS else Sparse)(machines, self.width)
+        self.roots = self.steps.roots
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) numbers of phrases, and the number of symbols of each text."""
@@ -130,10 +196,11 @@ class CrossParser:
         up to where both parses are in one state: from there they agree. Where they never are, the next lane starts
         otherwise than was thought, and is done anew."""
         languages, lanes = len(self.roots), columns.shape[1]
-        found = np.empty((len(columns), languages * lanes), np.int32)
-        state, ended = np.repeat(np.array(self.roots, np.int32), lanes), np.zeros(languages * lanes, np.int32)
+        kind = self.steps.kind
+        found = np.empty((len(columns), languages * lanes), kind)
+        state, ended = np.repeat(np.array(self.roots, kind), lanes), np.zeros(languages * lanes, np.int32)
         for t, column in enumerate(columns):
-            found[t] = self.table[(state.reshape(languages, lanes) + column).ravel()]
+            found[t] = self.steps.go(state.reshape(languages, lanes), column).ravel()
             ended += found[t] & 1
             state = found[t] >> 1
         first_end, end, more = state, state.copy(), np.zeros(len(ended), np.int64)
@@ -144,7 +211,7 @@ class CrossParser:
             place = np.arange(len(todo))  # in todo, of the lanes whose parses still differ
             last = first_end[todo].copy()
             for t, column in enumerate(columns):
-                said, thought = self.table[state + column[at % lanes]], found[t, at]
+                said, thought = self.steps.go(state, column[at % lanes]), found[t, at]
                 new[place] += (said & 1) - (thought & 1)
                 state = said >> 1
                 differ = state != thought >> 1

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -367,3 +368,23 @@ def edges(n, parts, k):
     cuts = [int(x) for x in np.linspace(0, n, parts + 1)]
     first = min(cuts[k], n - 1)
     return first, max(cuts[k + 1], min(cuts[k] + 1, n))
+
+
+def test_large_alphabets(monkeypatch):
+    """Six languages of 3,000 letters each: the steps of a hash table, in bounded memory, tell as those of a full table."""
+    rng = random.Random(1)
+    letters = [c for c in map(chr, range(0x4E00, 0x9FFF)) if c.isalpha()]
+    texts = {f"l{k}": "".join(rng.choices(letters[3000 * k : 3000 * k + 3000], k=24_000)) for k in range(6)}
+    parser = language_id.CrossParser(texts)
+    assert isinstance(parser.steps, language_id.Sparse)
+    held = sum(x.nbytes for x in vars(parser.steps).values() if hasattr(x, "nbytes"))
+    assert held < 100 << 20
+    samples = [texts[k][at : at + 300] for k in texts for at in (0, 7000, 23_000)] + ["abc def", None, "", texts["l0"][:2000] + texts["l3"][:500]]
+    assert [x[0] for x in parser.predict(samples)[:18]] == [k for k in texts for _ in range(3)]
+    small = {k: t[:1500].lower() for k, t in list(texts.items())[:2]} | {"en": "the cat sat on the mat and the dog ran off " * 9}
+    want = language_id.CrossParser(small)
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 0)
+    got = language_id.CrossParser(small)
+    assert isinstance(want.steps, language_id.Dense) and isinstance(got.steps, language_id.Sparse)
+    mixed = [*samples, "the dog and the cat ", "on the mat " * 700, "zebra" + small["l1"][5:900] + " the mat"]
+    assert all((a == b).all() for a, b in zip(got.phrases(mixed), want.phrases(mixed), strict=True))
