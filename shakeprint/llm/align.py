@@ -17,13 +17,15 @@ from pyspark.sql import types as T
 
 from .byte_bpe import byte_characters
 from .chunk_cache import SPACES
-from .common import by_chars, join_values, materialise, rows
+from .common import by_chars, join_values, materialise, materialise_small, rows
 
 #: Chunks that a worker keeps (about 500 bytes each), how long they are at most, and characters that are aligned at once.
 CACHE_CHUNKS, CHUNK_CHARS, BATCH_CHARS = 200_000, 64, 1_000_000
 #: Fixed value: how a piece shows a space.
 SHOWN_SPACE = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+#: A word, perhaps behind one space.
+WORD = re.compile(f" ?[^{SPACES}]+")
 #: A pair of ids as one number: the first tokenizer's id above PAIR_BITS bits of the second's.
 PAIR_BITS = 20
 
@@ -64,8 +66,28 @@ class ByteLevel:
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         self.bytes = [bytes(byte_of[c] for c in n) if all(c in byte_of for c in n) else n.encode() for n in names]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        newline = self.tok.encode("\n", add_special_tokens=False).ids
+        if self.tok.normalizer or len(newline) != 1:
+            raise ValueError("the first tokenizer has no normaliser, and a newline of its own")
+        self.newline = newline[0]
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and how many each has. Words behind one space, or none, go through the
+        library together, with newlines between them that no id crosses."""
+        word = np.array([WORD.fullmatch(c) is not None for c in chunks])
+        some = [c for c, w in zip(chunks, word.tolist(), strict=True) if w]
+        other = [c for c, w in zip(chunks, word.tolist(), strict=True) if not w]
+        counts = np.zeros(len(chunks), np.int64)
+        flat = np.array(self.tok.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)[0].ids if some else [], np.int64)
+        ends = np.flatnonzero(flat == self.newline)
+        counts[word] = np.diff(ends, prepend=-1) - 1
+        alone = [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)]
+        counts[~word] = [len(x) for x in alone]
+        out = np.empty(counts.sum(), np.int64)
+        mine = np.repeat(word, counts)
+        out[mine] = flat[flat != self.newline]
+        out[~mine] = np.fromiter(chain.from_iterable(alone), np.int64)
+        return out, counts
 
 
 class Pieces:
@@ -80,8 +102,10 @@ class Pieces:
         self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) and self.model.is_byte(i) else p.replace(SHOWN_SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and how many each has."""
+        ids = self.model.encode(chunks, num_threads=1)
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
 
 
 def cut_pattern(pieces: list[str]) -> re.Pattern:
@@ -111,19 +135,19 @@ class Aligner:
         self.known: dict[str, tuple[str, bytes, int, int] | None] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        raw = [c.encode() for c in chunks]
-        ids = [side.encode(chunks) for side in (self.a, self.b)]
-        spelled = [[b"".join(map(side.bytes.__getitem__, x)) for x in of_side] for side, of_side in zip((self.a, self.b), ids, strict=True)]
-        good = [k for k, want in enumerate(raw) if spelled[0][k] == spelled[1][k] == want]
         self.known.update(dict.fromkeys(chunks))
-        if not good:
-            return
-        flat, ends, counts = [], [], []
-        for of_side, size in zip(ids, self.sizes, strict=True):
-            some = [of_side[k] for k in good]
-            flat.append(np.fromiter(chain.from_iterable(some), np.int64))
-            ends.append(np.cumsum(size[flat[-1]]))
-            counts.append(np.array([len(x) for x in some]))
+        raw = [c.encode() for c in chunks]
+        b_ids, b_counts = self.b.encode(chunks)
+        # The first tokenizer spells every chunk; the second is compared, chunk by chunk if it leaves anything out.
+        if b"".join(map(self.b.bytes.__getitem__, b_ids.tolist())) != b"".join(raw) or (b_counts == 0).any():
+            at = np.cumsum([0, *b_counts]).tolist()
+            good = [k for k, want in enumerate(raw) if b"".join(map(self.b.bytes.__getitem__, b_ids[at[k] : at[k + 1]].tolist())) == want]
+            chunks = [chunks[k] for k in good]
+            if not chunks:
+                return
+            b_ids, b_counts = self.b.encode(chunks)
+        flat, counts = zip(self.a.encode(chunks), (b_ids, b_counts), strict=True)
+        ends = [np.cumsum(size[ids]) for ids, size in zip(flat, self.sizes, strict=True)]
         first, second = overlaps(*ends)
         n = len(flat[0])
         root = roots(n + len(flat[1]), first, second + n)
@@ -136,9 +160,9 @@ class Aligner:
         pairs = (flat[0][first] << PAIR_BITS | flat[1][second]).astype("<i8")
         tokens = np.cumsum([0, *(counts[0] + counts[1])]).tolist()
         links = np.searchsorted(first, np.cumsum([0, *counts[0]])).tolist()
-        a_counts, b_counts = counts[0].tolist(), counts[1].tolist()
-        for k, g in enumerate(good):
-            self.known[chunks[g]] = ("".join(shown[tokens[k] : tokens[k + 1]]), pairs[links[k] : links[k + 1]].tobytes(), a_counts[k], b_counts[k])
+        blob = pairs.tobytes()
+        for k, (chunk, a, b) in enumerate(zip(chunks, counts[0].tolist(), counts[1].tolist(), strict=True)):
+            self.known[chunk] = ("".join(shown[tokens[k] : tokens[k + 1]]), blob[8 * links[k] : 8 * links[k + 1]], a, b)
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, bytes]]:
         """Of each text: tokens a side, groups, the digest of the groups, and the linked pairs as 64-bit integers."""
@@ -199,7 +223,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     is linked more often."""
     counted = links.groupBy("pair").agg(F.sum("n").alias("total"))
     second = F.col("pair").bitwiseAND((1 << PAIR_BITS) - 1)
-    counted = materialise(counted.withColumn("_b", second))
+    counted = materialise_small(counted.withColumn("_b", second))
     most = counted.groupBy("_b").agg(F.max("total").alias("_most"))  # a row an id: at most 1 << PAIR_BITS
     return counted.join(F.broadcast(most), "_b").select("pair", "total", (F.col("total") == F.col("_most")).cast("long").alias("best"))
 
@@ -217,7 +241,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str
     a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
     stored = materialise(aligned(df, a, b, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
     links = stored.select("_row", F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("_row", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
-    counted = materialise(pair_counts(links))
+    counted = materialise_small(pair_counts(links))
     found = join_values(links, counted.withColumn("count", F.col("total")), "pair", "total")
     sums = found.groupBy("_row").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
     out = stored.drop("pairs", "counts").join(sums, "_row", "left")
