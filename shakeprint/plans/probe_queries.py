@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import synth as s
 from ..functions import names
 from ..functions.features import feature_map
-from ..functions.lineage import new_path
+from ..functions.lineage import materialise, new_path
 from ..functions.wire import raw, text, u16
 from ..operators import active, dissector, messages, similarity, ssh
+from ..operators.components import grow, grown
 from ..sources import probes
 from ..sources import records as record_source
 from ..streaming import stream
@@ -278,19 +279,23 @@ def record_numbers(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("records"), F.min("record").alias("first_record"), F.max("record").alias("last_record"), F.count_distinct("record").alias("numbers"), F.count(F.when(F.col("protocol").isNull(), 1)).alias("empty"))
 
 
-@query("SELECT k::BIGINT AS threshold, t::BIGINT AS top, k BETWEEN 0 AND 128 AND t >= 1 AS accepted FROM range(-3, 132) AS a(k), range(0, 3) AS b(t)")
+@query("SELECT p_partkey, (p_partkey % 140 - 5)::BIGINT AS threshold, (p_size % 3)::BIGINT AS top, p_partkey % 140 - 5 BETWEEN 0 AND 128 AND p_size % 3 >= 1 AS accepted FROM part")
 def argument_checks(spark, d):
     """Which thresholds and list lengths the similarity operators accept."""
-
-    def accepted(threshold: int, top: int) -> bool:
-        try:
-            similarity.check_arguments(threshold, top)
-        except ValueError:
-            return False
-        return True
-
-    rows = [(k, t, accepted(k, t)) for k in range(-3, 132) for t in range(3)]
-    return spark.createDataFrame(rows, "threshold long, top long, accepted boolean")
+    asked = table(spark, d, "part").select("p_partkey", (c("p_partkey") % 140 - 5).alias("threshold"), (c("p_size") % 3).alias("top"))
+    return asked.withColumn("accepted", similarity.arguments_accepted(F.col("threshold"), F.col("top")))
+
+
+@query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer")
+def components_in_batches(spark, d):
+    """Each customer is linked to the next of its nation; the links come in three batches, in no order of the chains."""
+    following = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    links = table(spark, d, "customer").select(c("c_custkey").alias("a"), F.coalesce(following, F.col("c_custkey")).cast("long").alias("b"))
+    labels, merges = (spark.createDataFrame([], s) for s in ("node long, component long", "component long, into long"))
+    for batch in range(3):
+        added, merges = grow(labels, merges, links.where(F.pmod(F.xxhash64("a"), F.lit(3)) == batch))
+        labels, merges = labels.unionByName(materialise(added)), materialise(merges)
+    return grown(labels, merges)
 
 
 # Names

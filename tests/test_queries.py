@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from shakeprint import synth
 from shakeprint.functions.features import checked_simhash, fingerprint_columns
+from shakeprint.functions.lineage import materialise
 from shakeprint.functions.wire import prefixed, raw, u16
 from shakeprint.operators import active, dissector, flows, render, similarity
-from shakeprint.operators.components import components
+from shakeprint.operators.components import components, grow, grown
 from shakeprint.plans import catalogue
 from shakeprint.sources import records
 
@@ -69,6 +70,29 @@ def test_components_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_that_grow(spark):
+    """After each batch of edges, what one run over all of them gives; old labels are never written again."""
+    import random
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(5, 5), (200, 200)]
+    label = {}
+    labels, merges = (spark.createDataFrame([], s) for s in ("node long, component long", "component long, into long"))
+    for at in range(0, len(edges), 24):
+        batch = edges[at : at + 24]
+        added, merges = grow(labels, merges, spark.createDataFrame([*batch, (None, 3)], "a long, b long"))
+        added, merges = materialise(added), materialise(merges)
+        for a, b in batch:
+            for x in (a, b):
+                label.setdefault(x, x)
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+        assert added.join(labels, "node").count() == 0
+        labels = labels.unionByName(added)
+        assert {r.node: r.component for r in grown(labels, merges).collect()} == label
+    assert merges.count() == merges.select("component").distinct().count()
+
+
 def test_threshold_checks(spark):
     for bad in (-1, 129):
         with pytest.raises(ValueError):
