@@ -7,18 +7,17 @@ first bytes, so one that is renamed when a new one takes its place (rotation) go
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyarrow import fs
 
 from ..functions.wire import Malformed
+from ..ship import as_code
 from .capture import BYTES_A_BATCH, ROWS_A_BATCH, SCHEMA, batch_of
 from .scan import Scanner, State, place_of
 
@@ -172,12 +171,7 @@ class LiveCaptures(DataSource):
 def live_captures(spark: SparkSession, directory: str, glob: str = "*", batch_bytes: int = BATCH_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Packets of a directory's captures (see `capture` for the columns) as they are written. `frame` counts from 1 in each file; what
     a file ends in the middle of waits for its rest. The directory is one that the driver and all executors can open."""
-    # The processes that plan a stream may not find the package where the driver does, so the source goes to them as code.
-    package = sys.modules[__name__.split(".")[0]]
-    cloudpickle.register_pickle_by_value(package)
-    try:
+    with as_code():
         spark.dataSource.register(LiveCaptures)
-    finally:
-        cloudpickle.unregister_pickle_by_value(package)
     reader = spark.readStream.format(NAME).option("glob", glob).option("batchBytes", batch_bytes).option("taskBytes", task_bytes)
     return reader.load(directory)
