@@ -7,14 +7,17 @@ of any size, and `live` for files that grow.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialise_at, remove
 from ..functions.wire import Malformed
 
 SCHEMA = "capture string, frame int, ts timestamp, link_type int, payload binary"
@@ -150,9 +153,8 @@ def pcapng_bytes(payloads: list[bytes]) -> bytes:
     return HEADS["pcapng"] + b"".join(record_bytes("pcapng", p, k) for k, p in enumerate(payloads))
 
 
-def write_captures(packets: DataFrame, directory: str, form: str = "pcap") -> None:
-    """packets (file, frame, payload) as capture files `<file>.<form>` of a directory, by Spark's own file system. Rows
-    pass through the driver one partition at a time, so it holds no more than that."""
+def _write_by_driver(packets: DataFrame, directory: str, form: str) -> None:
+    """By Spark's own file system, in order: rows pass through the driver one partition at a time, so it holds no more than that."""
     spark = packets.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out, current, held = None, None, bytearray()
@@ -174,6 +176,81 @@ def write_captures(packets: DataFrame, directory: str, form: str = "pcap") -> No
         out.close()
 
 
+def record_size(form: str, payload_size: int) -> int:
+    """How many bytes record_bytes() has."""
+    return 16 + payload_size if form == "pcap" else 32 + payload_size + -payload_size % 4
+
+
+def _offsets(form: str):
+    """Rows (file, frame, payload, part) with `at`: the bytes of their file before them in their partition."""
+
+    def run(batches):
+        current, at = None, 0
+        for batch in batches:
+            out = []
+            for file, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if file != current:
+                    current, at = file, 0
+                out.append(at)
+                at += record_size(form, len(payload.as_buffer()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "at"])
+
+    return run
+
+
+def _writer(directory: str, form: str):
+    """Rows (file, frame, payload, at) into their places of files that are there."""
+
+    def run(batches):
+        for batch in batches:
+            held, current, start, after = bytearray(), None, 0, -1
+
+            def flush():
+                if held:
+                    with open(f"{directory}/{current}.{form}", "r+b") as out:
+                        out.seek(start)
+                        out.write(held)
+                held.clear()
+
+            for file, frame, payload, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != current or at != after or len(held) > 1 << 20:
+                    flush()
+                    current, start = file, at
+                held += record_bytes(form, payload, frame)
+                after = start + len(held)
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_captures(packets: DataFrame, directory: str, form: str = "pcap") -> None:
+    """packets (file, frame, payload) as capture files `<file>.<form>` of a directory. Where files can be written at any place,
+    tasks write them side by side: rows are range-partitioned by file and frame, and the sizes of the partitions tell where
+    each row goes, so the driver holds a row a file. Elsewhere Spark's file system writes one file after another."""
+    local = re.match(r"(?:file:/*)?(/.*)|file:/+(.*)", directory)
+    if not local:
+        return _write_by_driver(packets, directory, form)
+    name = local[1] or "/" + local[2]
+    ranged = packets.select("file", F.col("frame").cast("long").alias("frame"), F.col("payload")).repartitionByRange("file", "frame").sortWithinPartitions("file", "frame")
+    rows = ranged.withColumn("part", F.spark_partition_id())
+    stored, path = materialise_at(rows.mapInArrow(_offsets(form), "file string, frame long, payload binary, part int, at long"))
+    size = F.octet_length("payload")
+    size = size + 16 if form == "pcap" else size + 32 + F.pmod(-size, F.lit(4))
+    parts = stored.groupBy("file", "part").agg(F.sum(size.cast("long")).alias("size"))
+    order = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = parts.withColumn("end", F.sum("size").over(order) + len(HEADS[form]))
+    os.makedirs(name, exist_ok=True)
+    for file, end in ends.groupBy("file").agg(F.max("end")).collect():
+        with open(f"{name}/{file}.{form}", "wb") as out:
+            out.write(HEADS[form])
+            out.truncate(end)
+    begins = ends.select("file", "part", (F.col("end") - F.col("size")).alias("begin"))
+    placed = stored.join(F.broadcast(begins), ["file", "part"]).select("file", "frame", "payload", (F.col("begin") + F.col("at")).alias("at"))
+    placed.mapInArrow(_writer(name, form), "n long").agg(F.sum("n")).first()
+    remove(packets.sparkSession, path)
+
+
 def number_frames(df: DataFrame, order: str, capture: str = "table") -> DataFrame:
     """Rows with a payload as packets whose frame is the number in `order` plus one."""
     return df.select(F.lit(capture).alias("capture"), (F.col(order) + 1).cast("int").alias("frame"), "payload")

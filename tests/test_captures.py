@@ -138,3 +138,16 @@ def test_live_captures(spark, tmp_path, form):
         by_file.setdefault(r.capture, []).append((r.frame, bytes(r.payload)))
     want = sorted([[(k, p) for k, p in enumerate(frames, 1)], [(k, p) for k, p in enumerate(payloads(12, 60), 1)]], key=len)
     assert sorted((sorted(x) for x in by_file.values()), key=len) == want
+
+
+@pytest.mark.parametrize("form", ["pcap", "pcapng"])
+def test_captures_are_written_by_tasks(spark, tmp_path, form, monkeypatch):
+    """Files whose records come from several partitions, and partitions with several files, without rows on the driver."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    payloads = {f: [bytes([f, k % 251]) * (k % 23) for k in range(n)] for f, n in ((1, 700), (2, 3), (3, 1500))}
+    rows = [(str(f), k, p) for f, ps in payloads.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "file string, frame int, payload binary").repartition(7)
+    capture.write_captures(df, f"file://{tmp_path}/made", form)
+    for f, ps in payloads.items():
+        want = capture.pcap_bytes(ps) if form == "pcap" else capture.pcapng_bytes(ps)
+        assert (tmp_path / "made" / f"{f}.{form}").read_bytes() == want
