@@ -12,6 +12,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that goes by shuffle: a broadcast passes the driver, and there is one a join and round."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (node, component): the smallest node each node reaches. Nodes without edges don't appear.
 
@@ -24,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(shuffled(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        small = large.join(shuffled(low), "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
         done = path
         edges, path = materialise_at(small.select("e.*").where("a <> b").distinct())
         remove(edges.sparkSession, done)
@@ -42,17 +47,17 @@ def grow(labels: DataFrame, merges: DataFrame, edges: DataFrame) -> tuple[DataFr
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    ends = nodes.join(labels, "node", "left").join(merges, "component", "left")
+    ends = nodes.join(shuffled(labels), "node", "left").join(shuffled(merges), "component", "left")
     ends = materialise(ends.select("node", F.col("component").isNotNull().alias("old"), F.coalesce("into", "component", "node").alias("root")))
     end = lambda k: ends.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
-    contracted = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    contracted = edges.join(shuffled(end("a")), "a").join(shuffled(end("b")), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     found = materialise(components(contracted).select(F.col("node").alias("root"), F.col("component").alias("now")))
-    added = ends.where("not old").join(found, "root", "left").select("node", F.coalesce("now", "root").alias("component"))
-    moved = ends.where("old").select("root").distinct().join(found, "root").where("now <> root")
-    kept = merges.join(moved, F.col("into") == F.col("root"), "left").select("component", F.coalesce("now", "into").alias("into"))
+    added = ends.where("not old").join(shuffled(found), "root", "left").select("node", F.coalesce("now", "root").alias("component"))
+    moved = ends.where("old").select("root").distinct().join(shuffled(found), "root").where("now <> root")
+    kept = merges.join(shuffled(moved), F.col("into") == F.col("root"), "left").select("component", F.coalesce("now", "into").alias("into"))
     return added, kept.unionByName(moved.select(F.col("root").alias("component"), F.col("now").alias("into")))
 
 
 def grown(labels: DataFrame, merges: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node reaches by all edges so far."""
-    return labels.join(merges, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return labels.join(shuffled(merges), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
