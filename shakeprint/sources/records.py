@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ FLOW = "struct<src:string,sport:int,dst:string,dport:int>"
 SCHEMA = f"mode string, protocol string, role string, fingerprint string, fingerprint_simhash128 string, features string, sha256 string, simhash128 string, flow {FLOW}, frame int"
 #: What a record may hold besides; wrong types there are kept as text.
 NUMBERED = f"{SCHEMA}, file string, item long"
+ROWS_A_BATCH = 4096
 
 
 def json_values(text: str) -> Iterator[dict]:
@@ -51,6 +53,13 @@ def _clean(item: dict) -> dict:
     return out | {"frame": number(item.get("frame"))}
 
 
+def record_batches(file: str, text: str, kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The records of a text as they are parsed, so that no more than a batch of them is held."""
+    values = enumerate(json_values(text))
+    while rows := [_clean(x) | {"file": file, "item": k} for k, x in islice(values, ROWS_A_BATCH)]:
+        yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+
 def read_records(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """Records numbered from 1 in the order of files and of items in them.
 
@@ -67,9 +76,8 @@ def read_records(spark: SparkSession, path: str | list[str], lines: bool = False
 
     def run(batches):
         for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [_clean(x) | {"file": file, "item": k} for k, x in enumerate(json_values(text))]
-                yield from pa.Table.from_pylist(rows, schema=kind).to_batches(max_chunksize=4096)
+            for file, text in zip(*batch.columns, strict=True):  # one text at a time as a string
+                yield from record_batches(file.as_py(), text.as_py(), kind)
 
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     return numbered(texts.mapInArrow(run, NUMBERED))

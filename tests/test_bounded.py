@@ -1,6 +1,12 @@
 """What the driver and a task hold doesn't grow with the input."""
 
+import json
+
+import pyarrow as pa
+import pytest
+
 from shakeprint.operators import components as c
+from shakeprint.sources import records
 
 
 def test_components_broadcast_nothing(spark, monkeypatch):
@@ -22,3 +28,14 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
     assert {r.node: r.component for r in out.collect()} == {k: k // 4 * 4 for k in range(20)}
+
+
+def test_records_come_as_they_are_parsed():
+    """The first batch is there before the rest of the text is looked at."""
+    kind = pa.schema([("role", pa.string()), ("file", pa.string()), ("item", pa.int64())])
+    text = "\n".join(json.dumps({"role": str(k)}) for k in range(records.ROWS_A_BATCH + 5)) + "\n{"
+    found = records.record_batches("f", text, kind)
+    first = next(found)
+    assert first.num_rows == records.ROWS_A_BATCH and first.to_pylist()[-1] == {"role": "4095", "file": "f", "item": 4095}
+    with pytest.raises(ValueError, match="line 4102"):
+        next(found)
