@@ -34,7 +34,9 @@ def one_pass(packets: DataFrame) -> DataFrame:
     df = with_tcpip(decode(packets))
     of_flow = (tcp & (is_banner(body) | maybe_kexinit(body))) | (~tcp & maybe_quic(body))
     df = df.select("capture", "frame", *FLOW, "transport", messages_of(df).alias("found"), F.when(of_flow, body).alias("body"))
-    return df.where((F.size("found") > 0) | F.col("body").isNotNull())
+    # A generator drops the other packets: a filter would be pushed below the parsers and run them again.
+    kept = F.when((F.size("found") > 0) | F.col("body").isNotNull(), F.array(F.struct("found", "body")))
+    return df.select("capture", "frame", *FLOW, "transport", F.explode(kept).alias("told")).select("capture", "frame", *FLOW, "transport", "told.*")
 
 
 def candidates(packets: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Decoding of frames: its texts, and that Spark compiles it."""
+"""Decoding of frames: its texts, that Spark compiles it, and that parsers run once."""
 
 import ipaddress
 
 from pyspark.sql import functions as F
 
 from shakeprint.operators.link import decode
+from shakeprint.plans.extract import one_pass
 
 #: A TCP segment to port 22 with two bytes.
 TCP = bytes.fromhex("0400001600000001000000005018faf0000000000102")
@@ -44,3 +45,12 @@ def test_decoding_is_compiled(spark):
     assert generates and all("*(" in line.split("Generate")[0] for line in generates)
     stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
     assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+
+
+def test_parsers_run_once(spark):
+    """Packets that tell nothing are dropped behind the parsers, which no filter repeats below."""
+    told, mute = frame6(bytes(16), bytes(16), TCP[:20] + b"SSH-2.0-x\r\n"), frame6(bytes(16), bytes(16))
+    df = one_pass(packets(spark, [told, mute, told]).withColumn("capture", F.lit("c")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line and "tcp_options(" in line for line in plan.split("\n")) == 1
+    assert [(r.frame, bytes(r.body), r.found) for r in df.orderBy("frame").collect()] == [(k, b"SSH-2.0-x\r\n", []) for k in (0, 2)]
